@@ -11,6 +11,15 @@ from docloom.llm.leaks import leaked_items
 from docloom.llm.levels import reading_levels
 from docloom.llm.mixture import mixture
 from docloom.llm.pieces import oversized, split_chunks
+from docloom.llm.scans import page_noise, paragraphs, repaired_pages
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise(repaired_pages(spark, table(spark, sf_dir, "chunks")))
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(materialize(repaired_pages(spark, table(spark, sf_dir, "chunks")), "repaired"))
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +66,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p5_found": p5_found,
