@@ -20,8 +20,11 @@ class AveragedPerceptron:
     def best(self, features: Sequence[str], labels: Sequence[str]) -> str:
         return max(labels, key=lambda k: self.score(features, k))
 
-    def train(self, examples: list[tuple[list[dict], int]], epochs: int = 5, seed: int = 1) -> None:
-        """Each example: candidate actions, each {"label", "features"}, and the place of the right one."""
+    def train(self, examples: list[tuple[list[dict], int]], epochs: int = 5, seed: int = 1, margin: float = 1.0) -> None:
+        """Each example: candidate actions, each {"label", "features"}, and the place of the right one.
+
+        Weights change wherever the right action does not lead all others by the margin.
+        """
         total: dict[tuple[str, str], float] = defaultdict(float)
         last: dict[tuple[str, str], int] = defaultdict(int)
         now: dict[tuple[str, str], float] = defaultdict(float)
@@ -32,8 +35,9 @@ class AveragedPerceptron:
                 candidates, right = examples[k]
                 step += 1
                 scores = [sum(now.get((f, c["label"]), 0.0) for f in c["features"]) for c in candidates]
-                guess = int(np.argmax(scores))
-                if guess != right:
+                rivals = [x if i != right else -np.inf for i, x in enumerate(scores)]
+                guess = int(np.argmax(rivals))
+                if len(scores) > 1 and scores[right] - rivals[guess] < margin:
                     for at, change in ((right, 1.0), (guess, -1.0)):
                         for f in candidates[at]["features"]:
                             key = (f, candidates[at]["label"])
