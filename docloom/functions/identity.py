@@ -16,7 +16,8 @@ def escape_part(col: Column) -> Column:
 
 def unescape_part(col: Column) -> Column:
     """The reverse of escape_part; malformed escapes stay as they are."""
-    return F.coalesce(F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B"))), col)
+    safe = F.regexp_replace(F.replace(col, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), col)
 
 
 def object_pk(tenant: Column, bucket: Column, key: Column) -> Column:
