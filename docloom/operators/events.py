@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import document_uri, sequencer_norm
-from docloom.io import blank_to_null
+from docloom.io import blank_to_null, materialize
+from docloom.operators.running import BLOCK, before, in_blocks
 
 _RECORD = """struct<eventVersion:string, eventSource:string, eventName:string, tenant_id:string, language:string,
  responseElements:map<string,string>, body:string,
@@ -68,28 +69,29 @@ def judge_events(log: DataFrame) -> DataFrame:
     upsert is refused and leaves no mark, so a later, older create is accepted. Every row has a sequencer; ties in
     arrival go by sequencer.
     """
-    order = Window.partitionBy("object").orderBy("arrival", "seq", "version")
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    upserts = F.coalesce(F.sum(F.when(F.col("op") == "UPSERT", 1).otherwise(0)).over(so_far), F.lit(0))
-    orphan = (F.col("op") == "DELETE") & (upserts == 0)
-    marked = log.withColumn("orphan", orphan)
-    top = F.max(F.when(~F.col("orphan"), F.col("seq"))).over(so_far)
-    stale = F.col("seq") <= top
-    reason = F.when(F.col("orphan"), "delete_without_object").when(stale, "stale").otherwise("accepted")
-    return marked.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan")
+    order = ["arrival", "seq", "version"]
+    upsert = F.when(F.col("op") == "UPSERT", 1).otherwise(0)
+    counted = before(in_blocks(log, ["object"], order, "event-log"), ["object"], order, {"upserts": (upsert, "sum")})
+    orphan = (F.col("op") == "DELETE") & (F.coalesce("upserts", F.lit(0)) == 0)
+    marked = materialize(counted.withColumn("orphan", orphan), "event-orphans")
+    topped = before(marked, ["object"], order, {"top": (F.when(~F.col("orphan"), F.col("seq")), "max")})
+    reason = F.when(F.col("orphan"), "delete_without_object").when(F.col("seq") <= F.col("top"), "stale").otherwise("accepted")
+    return topped.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan", "upserts", "top", BLOCK)
 
 
 def latest_versions(judged: DataFrame) -> DataFrame:
     """(object, version, seq, is_deleted, previous_version): the state that the accepted events leave."""
     accepted = judged.where("accepted")
-    previous = F.lag("version").over(Window.partitionBy("object").orderBy("seq"))
-    rows = accepted.withColumn("previous_version", previous)
-    top = rows.groupBy("object").agg(F.max(F.struct("seq", "version", "op", "previous_version")).alias("t"))
-    return top.select("object", "t.version", "t.seq", (F.col("t.op") == "DELETE").alias("is_deleted"), "t.previous_version")
+    top = accepted.groupBy("object").agg(F.max(F.struct("seq", "version", "op")).alias("t"))
+    # accepted sequencers of an object all differ: what is left below the top one has the previous version at its top
+    rest = accepted.join(top.select("object", "t.seq"), ["object", "seq"], "left_anti")
+    previous = rest.groupBy("object").agg(F.max(F.struct("seq", "version")).alias("p"))
+    return top.join(previous, "object", "left").select("object", "t.version", "t.seq", (F.col("t.op") == "DELETE").alias("is_deleted"), F.col("p.version").alias("previous_version"))
 
 
 def prefer_lookup(lookup: DataFrame) -> DataFrame:
     """One lookup row an object: the newer key generation, then the later update, then the greater key."""
-    legacy = F.col("pk").startswith("lookup#")
-    order = Window.partitionBy("object_pk").orderBy(legacy.cast("int"), F.desc_nulls_last("updated_at"), F.desc("pk"))
-    return lookup.where("object_pk is not null").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    rank = F.struct((~F.col("pk").startswith("lookup#")).alias("new"), F.col("updated_at").alias("at"), "pk")
+    rest = [c for c in lookup.columns if c not in ("object_pk", "pk")]
+    top = lookup.where("object_pk is not null").groupBy("object_pk").agg(F.max(F.struct(rank.alias("rank"), F.struct(*rest).alias("row"))).alias("t"))
+    return top.select("object_pk", "t.rank.pk", *[F.col(f"t.row.`{c}`").alias(c) for c in rest])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.running import numbered
 from docloom.operators.text import estimate_tokens, strip
 
 SAFE, SHORT, PART = 1400, 120, 6
@@ -14,14 +15,13 @@ def text_pages(chunks: DataFrame) -> DataFrame:
     """(version_pk, page, rn, text): the pages with text of each version, numbered in order; exact duplicates once."""
     page = F.coalesce("page_no", "page_span.first", "ordinal")
     rows = chunks.where((F.col("chunk_type") == "page_text_chunk") & (strip(F.coalesce("text", F.lit(""))) != "")).select("version_pk", "chunk_id", page.alias("page"), "text").dropDuplicates(["version_pk", "chunk_id"])
-    order = Window.partitionBy("version_pk").orderBy("page", "chunk_id")
-    return rows.select("version_pk", "page", F.row_number().over(order).alias("rn"), "text")
+    return numbered(rows, ["version_pk"], ["page", "chunk_id"], "rn", "text-pages").select("version_pk", "page", "rn", "text")
 
 
 def short_windows(pages: DataFrame, safe: int = SAFE, short: int = SHORT) -> DataFrame:
     """(version_pk, first, last, text): neighbours that together are within the limit, one of them short."""
-    order = Window.partitionBy("version_pk").orderBy("rn")
-    rows = pages.withColumns({"next_page": F.lead("page").over(order), "next_text": F.lead("text").over(order)}).where("next_text is not null")
+    after = pages.select("version_pk", (F.col("rn") - 1).alias("rn"), F.col("page").alias("next_page"), F.col("text").alias("next_text"))
+    rows = pages.join(after, ["version_pk", "rn"])
     text = F.concat("text", F.lit("\n\n"), "next_text")
     one_short = (estimate_tokens(F.col("text")) < short) | (estimate_tokens(F.col("next_text")) < short)
     return rows.where(one_short & (estimate_tokens(text) <= safe)).select("version_pk", F.col("page").alias("first"), F.col("next_page").alias("last"), text.alias("text"))

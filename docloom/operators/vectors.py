@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.running import numbered
+
 #: Constant of reciprocal rank fusion, and digits to which distances and scores are kept so that ties are ties everywhere.
 RRF, DISTANCE_DIGITS, SCORE_DIGITS = 60, 4, 9
 #: Greatest number of neighbours on either side.
 MOST_NEIGHBOURS = 64
-#: Queries are broadcast up to this many rows; beyond, they are joined by the planner's own choice.
+#: Queries in one broadcast, about; more are taken block by block, each against all vectors.
 BROADCAST_QUERIES = 10_000
 
 
@@ -33,11 +35,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, where: Column |
     is compared with all vectors, the larger side is never shuffled, and a partial top-k is cut before the exchange.
     """
     rows = vectors if where is None else vectors.where(where)
-    size = queries.limit(BROADCAST_QUERIES + 1).count()
-    side = F.broadcast(queries) if size <= BROADCAST_QUERIES else queries
-    pairs = rows.join(side, fits if fits is not None else F.lit(True)).withColumn("distance", cosine_distance(F.col("q"), F.col("vector"))).where("distance is not null")
+    blocks = -(-queries.count() // BROADCAST_QUERIES)
+    found = None
+    for i in range(max(1, blocks)):
+        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        pairs = rows.join(F.broadcast(some), fits if fits is not None else F.lit(True)).withColumn("distance", cosine_distance(F.col("q"), F.col("vector"))).where("distance is not null")
+        found = pairs if found is None else found.unionByName(pairs)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))
-    return pairs.drop("q", "vector").withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.drop("q", "vector").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def fuse_ranks(lists: DataFrame) -> DataFrame:
@@ -74,8 +79,7 @@ def neighbours(matches: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     is on version and place (each match asks for at most 2n places), not a range join.
     """
     n = max(0, min(MOST_NEIGHBOURS, n))
-    place = F.row_number().over(Window.partitionBy("version_pk").orderBy("ordinal", "chunk_id"))
-    placed = chunks.select("version_pk", "ordinal", "chunk_id").withColumn("place", place)
+    placed = numbered(chunks.select("version_pk", "ordinal", "chunk_id"), ["version_pk"], ["ordinal", "chunk_id"], "place", "chunk-places")
     own = placed.join(matches.select("version_pk", "chunk_id").distinct(), ["version_pk", "chunk_id"], "left_semi")
     steps = F.explode(F.sequence(F.lit(-n), F.lit(n)))
     wanted = own.select("version_pk", "ordinal", "place", steps.alias("offset")).where("offset <> 0").select("version_pk", "ordinal", "offset", (F.col("place") + F.col("offset")).alias("place"))
