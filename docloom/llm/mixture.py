@@ -75,7 +75,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     """The mixture, (doc_id, source, epoch, tokens), one row each time a record is used, and its report.
 
     The report has a row for each target: (source, target_share, max_repeats, available_tokens, records, tokens,
-    share, planned_share). share is of all tokens of the mixture. A record whose last token would pass the budget is
+    share, planned_share). share is of all tokens of the mixture, null if it has none. A record whose last token would pass the budget is
     left out, so a source falls short of its budget by less than one record. Records of sources that are no target,
     and empty records, are not used; a doc_id that stands in several rows counts in each.
     """
@@ -105,10 +105,11 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     given = mixed.groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("given"))
     every = Window.partitionBy()
     zero = F.lit(0).cast("long")
+    part = lambda a, b: F.round(F.try_divide(a, F.nullif(b, zero)), 6)
     report = plan.join(given, "source", "left").select(
         "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"),
         F.coalesce("records", zero).alias("records"), F.coalesce("given", zero).alias("tokens"),
-        F.round(F.coalesce("given", zero) / F.sum("given").over(every), 6).alias("share"),
-        F.round(F.col("budget") / F.sum("budget").over(every), 6).alias("planned_share"),
+        part(F.coalesce("given", zero), F.sum("given").over(every)).alias("share"),
+        part(F.col("budget"), F.sum("budget").over(every)).alias("planned_share"),
     )
     return mixed, report

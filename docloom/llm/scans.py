@@ -73,21 +73,22 @@ def lexicon(chunks: DataFrame, spark: SparkSession) -> dict[str, int]:
 # ---------------------------------------------------------------- furniture
 
 def fold_line(line: str) -> str:
-    """A line without digits, spaces and what scanning confuses, for comparing running lines."""
-    s = re.sub(r"[\s|]+", "", line.lower())
+    """A line with its numbers as one digit, without spaces and what scanning confuses, for comparing running lines."""
+    s = re.sub(r"(?<![a-zß-ɏ])[0-9lo]*[0-9][0-9lo]*(?![a-zß-ɏ])", "0", line.lower())
+    s = re.sub(r"[\s|]+", "", s)
     for a, b in _FOLD:
         s = s.replace(a, b)
-    s = re.sub(r"[0-9]+", "0", s) if re.search(r"[0-9]", s) and not _LETTERS.search(s) else s
-    s = re.sub(r"(?<![a-zß-ɏ])[0-9l]+(?![a-zß-ɏ])", "0", s)
     return s.translate(_FOLD_ONE)
 
 
-_NUMBER = re.compile(r"^[\s\[\](){}\-–—.·|/]*(?:[0-9lIoO]{1,5}|[ivxlcdmIVXLCDM1]{1,8})[\s\[\](){}\-–—.·|/]*$")
-_OF = re.compile(r"^\s*\S{0,12}\s*[0-9lIoO]{1,5}\s*(?:/|of|von|de|sur|\|)\s*[0-9lIoO]{1,5}\s*\S{0,4}\s*$")
-_PAGED = re.compile(r"^\s*(?:[^\W\d_]{1,8}|\S{1,4})\s*[0-9lIoO]{1,5}\s*\S{0,3}\s*$")
+#: A number, of which some digits may be misread as letters.
+_N = r"(?=[0-9lIoO]*[0-9])[0-9lIoO]{1,5}"
+_NUMBER = re.compile(rf"^[\s\[\](){{}}\-–—·|/]*(?:{_N}|[ivxlcdmIVXLCDM1]{{1,8}})[\s\[\](){{}}\-–—·|/]*$")
+_OF = re.compile(rf"^\s*\S{{0,12}}\s*[0-9lIoO]{{1,5}}\s*(?:/|of|von|de|sur|\|)\s*{_N}\s*\S{{0,4}}\s*$")
+_PAGED = re.compile(rf"^\s*(?:[^\W\d_]{{1,8}}|\S{{1,4}})\s*{_N}\s*\S{{0,3}}\s*$")
 _CODED = re.compile(r"^\s*[A-Z]\S{1,5}\.?\s+[0-9lIoO]+\.[0-9lIoO]+\s*/\s*\S+\s*$")
 _SPACED = re.compile(r"^\s*(?:\S\s+){3,}\S\s*$")
-_TITLED = re.compile(r"^\s*[0-9lIoO]{1,5}\s{2,}\S.*$|^.*\S\s{2,}[0-9lIoO]{1,5}\s*$|^.*\S \| \S.*\| *[0-9lIoO]{1,5}\s*$")
+_TITLED = re.compile(rf"^\s*{_N}\s{{2,}}\S.*$|^.*\S\s{{2,}}{_N}\s*$|^.*\S \| \S.*\| *{_N}\s*$")
 
 
 def _shape(line: str) -> str:
@@ -145,12 +146,12 @@ def furniture_shapes(counts: dict[str, int]) -> set[str]:
     yes, no = "furniture", "text"
     examples = []
     for shape, n in counts.items():
-        room, words, top, bottom, _, _, ratio, form, end, begin, size, _ = shape.split("|")
+        room, words, top, bottom, _, _, _, form, end, begin, size, spread = shape.split("|")
         worded = form in ("text", "capital", "ideographs")
         at_edge = top in "01" or bottom in "01"
-        if at_edge and form in ("number", "of", "coded", "spaced", "titled"):
+        if at_edge and (form in ("number", "of", "coded", "spaced", "titled") or (form == "paged" and size in "23")):
             right = 0
-        elif top in "01" and room == "room" and end == "open" and words == "few" and size in "23" and begin != "lower" and form != "text":
+        elif top in "01" and room == "room" and end == "open" and words == "few" and (size in "23" or spread in ("5", "30")) and begin != "lower" and form != "text":
             right = 0
         elif worded and (room == "full" or end != "open" or begin == "lower" or words == "many" or (room == "none" and size == "1")):
             right = 1
