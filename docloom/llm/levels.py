@@ -1,6 +1,7 @@
 """Reading level of documents: harmonic propagation of grades over the graph of documents and the words in them.
 
-A document is tied to each of its words, and to the shapes (lengths) of its sentences, by how often they occur in it.
+A document is tied to each of its words and word pairs, and to the shapes (lengths) of its sentences, by how often they
+occur in it.
 Graded documents are clamped to their mean grade; every other node takes the weighted mean of its neighbours. Words are
 hashed into a fixed number of nodes, so the scores of all word nodes are one array of bounded size: each half-step is one
 pass over the documents' edges that sends partial sums a task, never an edge, through the shuffle.
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from docloom.io import materialize, parallelism
 from docloom.llm import arrays
 
-#: Hashed word nodes; sentence-shape nodes follow them. Bounds what is broadcast: (WORDS + SHAPES) doubles, 1 MB.
+#: Hashed word nodes, as many for word pairs; sentence-shape nodes follow them. Bounds what is broadcast: 2 x NODES doubles, 2 MB.
 WORDS, SHAPES = 1 << 16, 32
-NODES = WORDS + SHAPES
+NODES = 2 * WORDS + SHAPES
 #: Weight in the mean of a word of a document that is not clamped, against 1 for a graded one.
 FREE = 0.3
 #: Half-steps over all documents. The scores move by less than 0.01 after these.
@@ -44,9 +45,11 @@ def _edges(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray],
     word = np.where(digit, 1, arrays.bins(t.hash, WORDS))
     starts = np.flatnonzero(first)
     length = np.diff(np.append(starts, n))
-    shape = WORDS + np.minimum(np.log2(length) * 3, SHAPES - 1).astype(np.int64)
-    both = np.concatenate([word, np.repeat(shape, length)])
-    owner = np.concatenate([t.text, t.text])
+    shape = 2 * WORDS + np.minimum(np.log2(length) * 3, SHAPES - 1).astype(np.int64)
+    inner = np.append(~first[1:], False)
+    pair = WORDS + arrays.bins(arrays.pairs(t), WORDS)[inner]
+    both = np.concatenate([word, pair, np.repeat(shape, length)])
+    owner = np.concatenate([t.text, t.text[inner], t.text])
     key, count = np.unique(owner * NODES + both, return_counts=True)
     cut = np.searchsorted(key, np.arange(len(texts) + 1) * NODES)
     points = t.points[t.start]
