@@ -158,9 +158,7 @@ def piece_bounds(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
     # the best level wins, then the latest place
     best = near.groupBy("item", "cut").agg(F.max(F.struct("level", "kept", "at")).alias("b")).select("item", "cut", F.col("b.at").alias("at"))
     whole = rows.groupBy("item").agg(F.sum("size").alias("size"), F.sum("kept").alias("kept"))
-    inner = best.join(whole.select("item", F.col("kept").alias("all_kept"), "size"), "item")
-    # a last piece shorter than the slack joins the one before it, if that stays within the limit
-    inner = inner.where(F.col("at") < F.col("size")).select("item", F.col("cut").alias("piece"), "at")
+    inner = best.join(whole.select("item", "size"), "item").where(F.col("at") < F.col("size")).select("item", F.col("cut").alias("piece"), "at")
     starts = inner.unionByName(whole.select("item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("at")))
     ends = inner.select("item", (F.col("piece") - 1).alias("piece"), F.col("at").alias("last"))
     spans = starts.join(ends, ["item", "piece"], "left").join(whole.select("item", "size"), "item")
@@ -191,7 +189,8 @@ def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_
     lead = F.substr(F.col("text"), F.lit(1), inside)
     lead = F.when(F.col("first") > 0, F.regexp_replace(lead, r"(?U)^\S*\s+", "")).otherwise(lead)
     text = F.concat(lead, F.substr(F.col("text"), inside + 1))
-    return whole.select("item", F.row_number().over(Window.partitionBy("item").orderBy("piece")).alias("piece_no"), "first", "last", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
+    # every multiple of the step has its cut, for boundaries lie closer together than the slack: numbers have no gaps
+    return whole.select("item", (F.col("piece") + 1).cast("int").alias("piece_no"), "first", "last", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
 def chunk_items(chunks: DataFrame) -> DataFrame:
