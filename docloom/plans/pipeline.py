@@ -14,6 +14,7 @@ from docloom.operators import pages as pg
 from docloom.operators import text as tx
 from docloom.operators import vectors as vec
 from docloom.operators.changes import fold_changes
+from docloom.sources import ocr
 from docloom.streaming.versions import judged_stream
 
 K, NEIGHBOURS = 10, 1
@@ -457,6 +458,18 @@ def excerpt_select(spark: SparkSession, d: str) -> DataFrame:
     return pg.excerpt(table(spark, d, "chunks"))
 
 
+@query(f"""with {_PAGES} select version_pk, count(*) as pages, sha1(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by rn)) as digest from pages group by version_pk""")
+def ocr_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as lines of recognition results, every other one in the older form, and read back as documents."""
+    pages = pg.text_pages(table(spark, d, "chunks"))
+    own = F.struct(F.col("text").alias("text"))
+    layout = F.to_json(F.struct(F.struct(F.array(F.struct(own.alias("markdown"))).alias("layoutParsingResults")).alias("result")))
+    plain = F.to_json(F.struct(F.struct(own.alias("markdown")).alias("data")))
+    lines = pages.select("version_pk", F.col("rn").alias("line_no"), F.when(F.col("rn") % 2 == 0, layout).otherwise(plain).alias("payload"))
+    whole = ocr.document_markdown(ocr.line_markdown(lines))
+    return whole.select("version_pk", "pages", F.sha1("markdown").alias("digest"))
+
+
 # ------------------------------------------------------------ retrieval
 
 def _vectors(spark: SparkSession, d: str, dims: int) -> DataFrame:

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.api import Corpus
 from docloom.functions import identity as ident
+from docloom.io import clear_materialized
 from docloom.operators import events as ev
 from docloom.operators import manifests as mf
 from docloom.operators import markdown as md
@@ -14,6 +16,7 @@ from docloom.operators import pages as pg
 from docloom.operators import text as tx
 from docloom.operators import vectors as vec
 from docloom.operators.running import numbered
+from docloom.sources import ocr
 
 
 def one(spark, value, f):
@@ -169,3 +172,27 @@ def test_batches_are_full(spark):
     rows = spark.range(1234).selectExpr("'g' as g", "id")
     sizes = [r["count"] for r in mf.batches(rows, "g", ["id"], 500).groupBy("batch_no").count().orderBy("batch_no").collect()]
     assert sizes == [500, 500, 234]
+
+
+def test_recognition_lines(spark, tmp_path):
+    lines = ['{"result": {"layoutParsingResults": [{"markdown": {"text": "a"}}, {"markdown": {"text": " "}}, {"markdown": {"text": "b"}}]}}', "", '{"data": {"markdown": {"text": "c"}}}', "[1]", "broken {", '{"other": 1}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    got = {r.line_no: (r.markdown, r.error) for r in ocr.line_markdown(ocr.read_lines(spark, str(tmp_path))).collect()}
+    assert got == {1: ("a\n\nb", None), 3: ("c", None), 4: (None, "not an object"), 5: (None, "not an object"), 6: (None, None)}
+    whole = ocr.document_markdown(ocr.line_markdown(ocr.read_lines(spark, str(tmp_path)))).first()
+    assert (whole.pages, whole.markdown) == (2, "a\n\nb\n\nc")
+
+
+def test_a_corpus(spark, sf_dir):
+    c = Corpus(spark, sf_dir, [mf.Profile("a", 64), mf.Profile("b", 32)])
+    rows = c.read("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id < 2").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("profile_id"), F.col("vector").alias("q"))
+    hits = c.search(asked, {"a": rows, "b": rows}, k=99).collect()
+    assert len(hits) == 40 and all(h.hits == 2 for h in hits)
+    version = c.read("chunks").first().version_pk
+    assert 1 <= c.excerpt(version).count() <= 3
+    assert c.backfill(limit=5).count() == 5 and c.current().count() <= c.state().count()
+    assert c.requests().select("profile_id").distinct().count() == 2
+    first = c.backfill(limit=5).agg(F.max("object_pk")).first()[0]
+    assert c.backfill(after=first, limit=5).agg(F.min("object_pk")).first()[0] > first
+    assert clear_materialized(spark) is None
