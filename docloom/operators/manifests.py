@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.identity import object_of_version_pk
+from docloom.functions.identity import escape_part, object_of_version_pk
 from docloom.io import blank_to_null
 from docloom.operators.text import drop_empty, preview
 
@@ -129,8 +129,6 @@ def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFra
 
     Places come from prefix sums over 256 hash buckets of a group; order within a bucket is by the given columns.
     """
-    from pyspark.sql import Window
-
     bucket = F.pmod(F.xxhash64(*order), F.lit(256))
     placed = rows.withColumn("bucket", bucket)
     counts = placed.groupBy(group, "bucket").agg(F.count("*").alias("n"))
@@ -139,3 +137,39 @@ def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFra
     inside = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(*order))
     joined = placed.withColumn("inside", inside).join(base, [group, "bucket"])
     return joined.withColumn("batch_no", F.floor((F.col("base") + F.col("inside") - 1) / size)).drop("bucket", "inside", "base")
+
+
+def complete_versions(versions: DataFrame, profiles: DataFrame, marks: DataFrame) -> DataFrame:
+    """(version_pk, complete): whether every written profile is done with a version.
+
+    marks: (version_pk, profile_id, done). A profile without a mark is not done; without any written profile nothing is
+    complete. Profiles are few and broadcast; marks are reduced to one row a pair before the join.
+    """
+    wanted = profiles.where("writes").select("profile_id")
+    best = marks.groupBy("version_pk", "profile_id").agg(F.bool_or("done").alias("done"))
+    done = best.join(F.broadcast(wanted), "profile_id").where("done").groupBy("version_pk").agg(F.count("*").alias("n"))
+    total = wanted.count()
+    rows = versions.select("version_pk").distinct().join(done, "version_pk", "left")
+    return rows.select("version_pk", (F.lit(total > 0) & (F.coalesce("n", F.lit(0)) == total)).alias("complete"))
+
+
+def two_generations(wanted: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(bucket, object_key, pk, object_pk): each wanted key's lookup row, of the newer key generation if there is one.
+
+    wanted: (bucket, object_key). Several rows of one key: the greatest object_pk stands.
+    """
+    tail = F.concat(escape_part(F.col("bucket")), F.lit("#"), escape_part(F.col("object_key")))
+    keys = wanted.select("bucket", "object_key", F.concat(F.lit("lookup-v2#"), tail).alias("new"), F.concat(F.lit("lookup#"), tail).alias("old")).distinct()
+    one = lookup.where("pk is not null").groupBy("pk").agg(F.max("object_pk").alias("object_pk"))
+    both = keys.join(one.select(F.col("pk").alias("new"), F.col("object_pk").alias("new_object")), "new", "left").join(one.select(F.col("pk").alias("old"), F.col("object_pk").alias("old_object")), "old", "left")
+    pk = F.when(F.col("new_object").isNotNull(), F.col("new")).when(F.col("old_object").isNotNull(), F.col("old"))
+    return both.select("bucket", "object_key", pk.alias("pk"), F.coalesce("new_object", "old_object").alias("object_pk"))
+
+
+def flag_latest(index: DataFrame, state: DataFrame) -> DataFrame:
+    """Index rows with is_latest as the state has it; rows of unknown objects keep their own flag."""
+    rows = index.withColumn("object_pk", object_of_version_pk(F.col("version_pk")))
+    known = state.select("object_pk", F.when(~F.col("is_deleted"), F.concat("object_pk", F.lit("#"), "latest_version_id")).alias("current"), F.lit(True).alias("known"))
+    joined = rows.join(known, "object_pk", "left")
+    flag = F.when(F.col("known"), F.col("version_pk").eqNullSafe(F.col("current"))).otherwise(F.col("is_latest"))
+    return joined.withColumn("is_latest", flag).drop("object_pk", "current", "known")

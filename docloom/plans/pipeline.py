@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import identity as ident
@@ -272,8 +272,6 @@ where place <= 10
 """)
 def version_list(spark: SparkSession, d: str) -> DataFrame:
     """The versions of each object, live ones before delete markers, newest first, ten at most."""
-    from pyspark.sql import Window
-
     rows = table(spark, d, "lookup_changes").where("object_pk is not null and latest_version_id is not null")
     seq = F.lpad(ident.sequencer_norm(F.col("latest_sequencer")), 40, "0")
     each = rows.groupBy("object_pk", F.col("latest_version_id").alias("version_id")).agg(F.bool_and(F.col("op") == "D").alias("is_marker"), F.max(seq).alias("seq"))
@@ -395,6 +393,36 @@ def current_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("version_pk", "chunk_id").distinct().join(live, "version_pk", "left_semi")
 
 
+@query(f"""
+select version_pk, 'chunk#' || chunk_id as sk, case when s.object_pk is null then true else not s.is_deleted and s.object_pk || '#' || s.latest_version_id is not distinct from version_pk end as is_latest
+from (select distinct version_pk, chunk_id from chunks) c
+left join {_STATE} s on s.object_pk = split_part(version_pk, '#', 1) || '#' || split_part(version_pk, '#', 2) || '#' || split_part(version_pk, '#', 3)
+""")
+def index_latest(spark: SparkSession, d: str) -> DataFrame:
+    return mf.flag_latest(mf.index_rows(table(spark, d, "chunks")), _state(spark, d)).select("version_pk", "sk", "is_latest")
+
+
+@query("""
+select cast(o_orderkey as varchar) as version_pk, coalesce(n, 0) = 2 as complete from (select distinct o_orderkey from orders) o
+left join (select l_orderkey, count(distinct l_linenumber) as n from lineitem where l_linenumber in (1, 2) and l_linestatus = 'F' group by l_orderkey) on l_orderkey = o_orderkey
+""")
+def version_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as versions, their first two lines as the marks of two profiles."""
+    profiles = mf.profile_table(spark, [mf.Profile("1", 64), mf.Profile("2", 32), mf.Profile("3", 32, enabled=False)])
+    marks = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("version_pk"), F.col("l_linenumber").cast("string").alias("profile_id"), (F.col("l_linestatus") == "F").alias("done"))
+    return mf.complete_versions(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("version_pk")), profiles, marks)
+
+
+@query("""
+with w as (select distinct bucket, object_key, url_encode(bucket) || '#' || url_encode(object_key) as k from lookup_changes),
+l as (select pk, max(object_pk) as object_pk from object_lookup where pk is not null group by pk)
+select bucket, object_key, case when n.pk is not null then n.pk else o.pk end as pk, coalesce(n.object_pk, o.object_pk) as object_pk
+from w left join l n on n.pk = 'lookup-v2#' || k left join l o on o.pk = 'lookup#' || k
+""")
+def lookup_generations(spark: SparkSession, d: str) -> DataFrame:
+    return mf.two_generations(table(spark, d, "lookup_changes"), table(spark, d, "object_lookup"))
+
+
 # ------------------------------------------------------------ Markdown and pages
 
 _LINES = f"""
