@@ -28,7 +28,7 @@ SHARP = 4.0
 #: A segment of fewer letters (one Chinese or Japanese character counts as three) names no language by itself.
 LEAST_LETTERS = 12
 #: A segment whose best language has less confidence than this (headings of a few words) is left open.
-LEAST_CONFIDENCE = 0.6
+LEAST_CONFIDENCE = 0.71
 
 # Codes of the six languages with two and with three letters.
 CODES = {

@@ -154,7 +154,7 @@ def test_segments_in_another_language_are_found(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 1
     assert {(r.version_pk, r.lang) for r in wrong.collect()} == {(k, v) for i, (k, v) in enumerate(main_of.items()) if i % 3}
     assert segments.where("version_pk = 'n' and lang is not null").count() == 0
-    assert segments.where("lang is not null and (confidence < 0.6 or confidence > 1)").count() == 0
+    assert segments.where("lang is not null and (confidence < 0.71 or confidence > 1)").count() == 0
 
 
 def test_labels_name_languages(spark):
