@@ -196,3 +196,54 @@ def test_a_corpus(spark, sf_dir):
     first = c.backfill(limit=5).agg(F.max("object_pk")).first()[0]
     assert c.backfill(after=first, limit=5).agg(F.min("object_pk")).first()[0] > first
     assert clear_materialized(spark) is None
+
+
+def _slow_split(text, chars):
+    parts, rest = [], text.strip()
+    while len(rest) > chars:
+        window, cut = rest[:chars], chars
+        for mark in ("\n\n", "\n"):
+            end = window.rfind(mark) + len(mark)
+            if end >= len(mark) and 1 <= chars - end + 1 <= chars // 2:
+                cut = end
+                break
+        parts += [rest[:cut].strip()] if rest[:cut].strip() else []
+        rest = rest[cut:].strip()
+    return parts + ([rest] if rest else [])
+
+
+def _slow_pack(units, hard):
+    done, open_ = [], ""
+    for u in units:
+        joined = f"{open_}\n\n{u}"
+        if open_ == "":
+            open_ = u
+        elif -(-len(" ".join(joined.split())) // 4) <= hard:
+            open_ = joined
+        else:
+            done.append(open_)
+            open_ = u
+    return done + ([open_] if open_ else [])
+
+
+def test_splitting_and_packing_like_loops(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab c\n") for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["", " \n ", "x" * 300, "a\n\n" * 80]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", md.forced_split(F.col("t"), 40).alias("p")).collect()
+    assert {r.i: list(r.p) for r in rows} == {i: _slow_split(t, 40) for i, t in enumerate(texts)}
+    units = [[("w" * rng.randint(1, 90)) for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u array<string>").select("i", md.pack(F.col("u"), 30).alias("p")).collect()
+    assert {r.i: list(r.p) for r in rows} == {i: _slow_pack(u, 30) for i, u in enumerate(units)}
+
+
+def test_queries_in_blocks_find_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    q = v.selectExpr("vec_id as qid", "vector as q")
+    once = sorted(map(tuple, vec.vector_topk(q, v, 3).collect()))
+    monkeypatch.setattr(vec, "BROADCAST_QUERIES", 7)
+    assert sorted(map(tuple, vec.vector_topk(q, v, 3).collect())) == once
+    for i, x in rows[:5]:
+        dist = sorted((round(1 - sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5, 3), j) for j, y in rows)
+        assert {j for _, j in dist[:1]} <= {t[0] for t in once if t[1] == i} | {i}
