@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_SCRATCH = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +38,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if (paths := getattr(_SCRATCH, "paths", None)) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize writes within, in this thread, is removed at the end: a stream would pile it up batch by batch."""
+    outer, _SCRATCH.paths = getattr(_SCRATCH, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _SCRATCH.paths = _SCRATCH.paths, outer
+        for path in paths:
+            remove(spark, path)
+
+
+def _found(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _found(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _found(spark, path)
+    fs.delete(p, True)
+
+
 def clear_materialized(spark: SparkSession) -> None:
     """Remove all that materialize and the streams have written; results that still read it must be written out before."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    remove(spark, f"{shared_dir(spark)}/docloom")
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -62,21 +62,26 @@ def messages(records: DataFrame) -> DataFrame:
     ).where("operation is not null and version_id is not null and bucket is not null and object_key is not null")
 
 
-def judge_events(log: DataFrame) -> DataFrame:
+def judge_events(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The log (object, arrival, version, seq, op) with accepted and reason, each object's events in order of arrival.
 
     An event is accepted if its sequencer is above all earlier ones of its object; a delete before the object's first
     upsert is refused and leaves no mark, so a later, older create is accepted. Every row has a sequencer; ties in
-    arrival go by sequencer.
+    arrival go by sequencer. state: (object, top, seen), one row an object, what events before the log have left: the
+    top sequencer and whether there was an upsert.
     """
     order = ["arrival", "seq", "version"]
-    upsert = F.when(F.col("op") == "UPSERT", 1).otherwise(0)
+    upsert, carried = F.when(F.col("op") == "UPSERT", 1).otherwise(0), F.lit(False)
+    if state is not None:  # its rows go before all events
+        first = state.select("object", F.col("top").alias("seq"), F.when(F.col("seen"), "UPSERT").alias("op"), F.lit(True).alias("carried"))
+        log = log.withColumn("carried", F.lit(False)).unionByName(first, allowMissingColumns=True).withColumn("event", ~F.col("carried"))
+        order, carried = ["event", *order], F.col("carried")
     counted = before(in_blocks(log, ["object"], order, "event-log"), ["object"], order, {"upserts": (upsert, "sum")})
-    orphan = (F.col("op") == "DELETE") & (F.coalesce("upserts", F.lit(0)) == 0)
+    orphan = ~carried & (F.col("op") == "DELETE") & (F.coalesce("upserts", F.lit(0)) == 0)
     marked = materialize(counted.withColumn("orphan", orphan), "event-orphans")
-    topped = before(marked, ["object"], order, {"top": (F.when(~F.col("orphan"), F.col("seq")), "max")})
+    topped = before(marked, ["object"], order, {"top": (F.when(~F.col("orphan"), F.col("seq")), "max")}).where(~carried)
     reason = F.when(F.col("orphan"), "delete_without_object").when(F.col("seq") <= F.col("top"), "stale").otherwise("accepted")
-    return topped.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan", "upserts", "top", BLOCK)
+    return topped.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan", "upserts", "top", "carried", "event", BLOCK)
 
 
 def latest_versions(judged: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from docloom.operators import text as tx
 from docloom.operators import vectors as vec
 from docloom.operators.changes import fold_changes
 from docloom.sources import ocr
-from docloom.streaming.versions import judged_stream
+from docloom.streaming.versions import judged_rows, judged_stream
 
 K, NEIGHBOURS = 10, 1
 PROFILES = [mf.Profile("main", 64), mf.Profile("images", 64, ("image",)), mf.Profile("short", 32), mf.Profile("paused", 32, enable_write=False)]
@@ -227,10 +227,9 @@ def stream_accept(spark: SparkSession, d: str) -> DataFrame:
     version = F.col("event_id").cast("string")
     op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPSERT")
     log = source.select(F.col("user_id").cast("string").alias("object"), F.md5(version).alias("arrival"), version.alias("version"), F.lpad(F.hex("event_id"), 32, "0").alias("seq"), op.alias("op"))
-    out = new_path(spark, "judged")
-    run = judged_stream(log).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "judged-checkpoint")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("object string, version string, seq string, op string, reason string").parquet(out)
+    at = new_path(spark, "judged")
+    judged_stream(log, at).trigger(availableNow=True).start().awaitTermination()
+    return judged_rows(spark, at)
 
 
 # ------------------------------------------------------------ lookups

@@ -1,38 +1,54 @@
-"""The version of each object, kept up by a stream of events: late and repeated events are refused with a reason."""
+"""The version of each object, kept up by a stream of events: late and repeated events are refused with a reason.
+
+Each micro-batch is judged on Spark, in blocks of arrival, against one stored row an object. Rows and state are written
+under the number of their batch, so a batch that is repeated after a failure writes the same over again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from docloom.io import exists, remove, scratch
+from docloom.operators.events import judge_events
 
 _OUT = "object string, version string, seq string, op string, reason string"
-_STATE = "seq string, live boolean"
-
-
-def _judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    top, seen = tuple(state.get) if state.exists else (None, False)
-    for pdf in parts:
-        out = []
-        for r in pdf.sort_values(["arrival", "seq", "version"], kind="stable").itertuples():
-            if r.op == "DELETE" and not seen:
-                reason = "delete_without_object"
-            elif top is not None and r.seq <= top:
-                reason = "stale"
-            else:
-                reason, top = "accepted", r.seq
-            seen = seen or r.op == "UPSERT"
-            out.append((key[0], r.version, r.seq, r.op, reason))
-        yield pd.DataFrame(out, columns=["object", "version", "seq", "op", "reason"])
-    state.update((top, seen))
-
-
-def judged_stream(log: DataFrame) -> DataFrame:
-    """Rows of a streaming log (object, arrival, version, seq, op) with the reason for which each is taken or not.
-
-    One small state an object, never expired: to forget an object would let old versions in again. An object's events
-    come to one task and are read in batches, ordered by arrival within each.
+_STATE = "object string, top string, seen boolean"
+
+
+def _judge(at: str):
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # a null object is an object of its own
+        log = batch.withColumn("object", F.coalesce(F.concat(F.lit("="), "object"), F.lit("~")))
+        state = spark.read.schema(_STATE).parquet(f"{at}/state/{number - 1}") if number else spark.createDataFrame([], _STATE)
+        with scratch(spark):
+            met = state.join(log.select("object").distinct(), "object", "left_semi")
+            judged = judge_events(log, met).select("object", "version", "seq", "op", "reason")
+            judged.write.mode("overwrite").parquet(f"{at}/judged/batch={number}")
+        rows = spark.read.schema(_OUT).parquet(f"{at}/judged/batch={number}")
+        top = F.max(F.when(F.col("reason") != "delete_without_object", F.col("seq")))
+        new = rows.groupBy("object").agg(top.alias("top"), F.bool_or(F.col("op") == "UPSERT").alias("seen"))
+        state.unionByName(new).groupBy("object").agg(F.max("top").alias("top"), F.bool_or("seen").alias("seen")).write.mode("overwrite").parquet(f"{at}/state/{number}")
+        remove(spark, f"{at}/state/{number - 2}")
+
+    return judge
+
+
+def judged_stream(log: DataFrame, at: str) -> DataStreamWriter:
+    """The query that judges a streaming log (object, arrival, version, seq, op) and keeps rows, state and checkpoint in folder at.
+
+    One small row an object, never expired: to forget an object would let old versions in again. Events are judged in
+    order of arrival within a micro-batch, and after all those of earlier ones.
     """
-    return log.groupBy("object").applyInPandasWithState(_judge, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return log.writeStream.foreachBatch(_judge(at)).option("checkpointLocation", f"{at}/checkpoint")
+
+
+def judged_rows(spark: SparkSession, at: str) -> DataFrame:
+    """(object, version, seq, op, reason): all that the stream in folder at has judged."""
+    if not exists(spark, f"{at}/judged"):
+        return spark.createDataFrame([], _OUT)
+    rows = spark.read.schema(_OUT).parquet(f"{at}/judged")
+    object_ = F.when(F.startswith("object", F.lit("=")), F.substr("object", F.lit(2)))
+    return rows.select(object_.alias("object"), "version", "seq", "op", "reason")
