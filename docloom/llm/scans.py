@@ -183,7 +183,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line = lines[i]
                 long = len(line) > 120
                 row = (version, chunk, place, i + 1, line[:120] if not long else line[:60] + line[-60:], "" if long else fold_line(line), top, bottom, i == 0 or not lines[i - 1].strip(),
-                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), top == EDGE or bottom == EDGE or long)
+                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), (top >= EDGE and bottom >= EDGE) or long)
                 for c, v in zip(cols, row):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
