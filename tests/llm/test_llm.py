@@ -248,7 +248,7 @@ def test_leaks_are_found_by_sentence_and_question(spark):
     items += [(90, "s", None, None, None, None, 0, "t"), (91, "s", "en", "", "?", "", 0, "t"), (None, "s", "en", "x y z w", "q", "", 0, "t")]
     got = {tuple(r) for r in leaks.leaked_items(spark, docs(spark, rows + rows[:4]), spark.createDataFrame(items, ITEM)).collect()}
     assert len(got & planted) >= 0.97 * len(planted), sorted(planted - got)[:5]
-    assert len(got - planted) <= 0.02 * len(planted)
+    assert len(got - planted) <= 0.02 * len(planted), sorted(got - planted)[:9]
     assert leaks.leaked_items(spark, docs(spark, rows[:3]), spark.createDataFrame([], ITEM)).count() == 0
     assert leaks.leaked_items(spark, docs(spark, []), spark.createDataFrame(items, ITEM)).count() == 0
 
@@ -353,16 +353,3 @@ def test_matches_sql(spark, sf_dir, name):
     c = duckdb.connect()
     c.execute(f"create view chunks as select * from '{sf_dir}/chunks.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, sf_dir).collect())) == sorted(c.sql(SQL[name]).fetchall())
-
-
-def test_items_in_blocks_are_all_searched(spark, monkeypatch):
-    rng = random.Random(14)
-    words = [f"word{i}" for i in range(300)]
-    items, rows = [], []
-    for i in range(12):
-        p = " ".join(rng.sample(words, 14)).capitalize() + f" {i}{i}{i}."
-        items.append((i, "s", "en", p, "Which " + " ".join(rng.sample(words, 12)) + "?", "", 0, "t"))
-        rows.append((i, " ".join(rng.sample(words, 20)) + ".\n\n" + p, "en", "s"))
-    monkeypatch.setattr(leaks, "BLOCK", 16)
-    got = {tuple(r) for r in leaks.leaked_items(spark, docs(spark, rows), spark.createDataFrame(items, ITEM)).collect()}
-    assert got == {(i, i) for i in range(12)}
