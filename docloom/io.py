@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import threading
 import uuid
@@ -21,17 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only one process that is driver and executor in one (local
+    mode) may do without it, in a temporary folder; a cluster without the setting is refused, for each executor would
+    write to a disk of its own and what is read back would be incomplete."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-docloom-"))
     return f"file://{_LOCAL[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/docloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -72,20 +81,33 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def clear_materialized(spark: SparkSession) -> None:
-    """Remove all that materialize and the streams have written; results that still read it must be written out before."""
-    remove(spark, f"{shared_dir(spark)}/docloom")
+    """Remove all that this application's materialize and streams have written; results that still read it must be written
+    out before. What other applications keep in the same shared folder stays."""
+    remove(spark, own_dir(spark))
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB: on disk, not in the executors' heaps."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def stream_source(path: str) -> tuple[str, dict[str, str]]:
+def stream_source(spark: SparkSession, path: str) -> tuple[str, dict[str, str]]:
     """Folder and options by which the file stream source reads a table that is one file or a folder of files."""
-    plain = path.removeprefix("file://")
-    if os.path.isdir(plain) or not os.path.exists(plain):
-        return path, {}
-    return os.path.dirname(path), {"pathGlobFilter": os.path.basename(path)}
+    fs, p = _found(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return p.getParent().toString(), {"pathGlobFilter": p.getName()}
+    return path, {}
 
 
 def blank_to_null(col) -> F.Column:

@@ -222,7 +222,7 @@ def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 def stream_accept(spark: SparkSession, d: str) -> DataFrame:
     """The same judgement by the stateful stream, read in one go so that arrival orders the events."""
     path = f"{d}/events.parquet"
-    folder, options = stream_source(path)
+    folder, options = stream_source(spark, path)
     source = spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(folder)
     version = F.col("event_id").cast("string")
     op = F.when(F.col("event_type") == "error", "DELETE").otherwise("UPSERT")

@@ -1,9 +1,10 @@
 """Messages delivered at least once: exactly one delivery of each stays.
 
-A streaming query keeps the identifiers it has seen in Spark's keyed state store. The store is checkpointed together
-with the offsets and with the ledger that the query writes, so a restart repeats nothing. A state is forgotten when
-the watermark has passed it by the retention; deliveries that come behind the watermark, or after their message was
-forgotten, are settled by a lookup in the ledger.
+A streaming query keeps the identifiers it has seen in Spark's keyed state store (RocksDB, off the heap) and lets one
+delivery of each through, into a ledger. Store, offsets and ledger are committed together: a query that is started again
+with the same ledger and checkpoint goes on where it stopped. An identifier is forgotten when the watermark has passed it by
+the retention. Deliveries that are not in the ledger (repeated, or behind the watermark) are looked up in it by message:
+one aggregate over ledger and absent deliveries tells which copy is the earliest.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.functions.identity import sequencer_value, uri_of_version_pk
-from docloom.io import blank_to_null, new_path, stream_source
+from docloom.io import blank_to_null, materialize, new_path, rocksdb_state, stream_source
 
 _LAST = 9_223_372_036_854_775_807
-_FOLDED = "message string, event_time timestamp, received_us long, delivery_id long, repeats array<long>"
-_LEDGER = "message string, received_us long, delivery_id long, stays boolean, repeats array<long>"
-_STATE = "received_us long, delivery_id long"
+_ROW = "delivery_id long, message string, received_us long, event_time timestamp"
+_LEDGER = "message string, received_us long, delivery_id long"
+#: How long an identifier is kept behind the watermark.
+RETENTION = "60 days"
 
 
 def message_rows(jobs: DataFrame) -> DataFrame:
@@ -46,85 +47,52 @@ def message_rows(jobs: DataFrame) -> DataFrame:
     ).where("delivery_id is not null")
 
 
-def _fold_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each message of a batch, with the deliveries it repeats: a hot message costs the shuffle a row a batch."""
+def _first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The earliest row of each message in a batch: a hot message costs the shuffle a row a batch."""
     for pdf in batches:
-        pdf = pdf.sort_values(["message", "received_us", "delivery_id"], kind="stable").drop_duplicates(["message", "delivery_id"])
-        first = ~pdf["message"].duplicated()
-        repeats = pdf[~first].groupby("message", sort=False)["delivery_id"].agg(list)
-        out = pdf[first].copy()
-        out["repeats"] = [repeats.get(m, []) for m in out["message"]] if len(repeats) else [[] for _ in range(len(out))]
-        yield out[["message", "event_time", "received_us", "delivery_id", "repeats"]]
-
-
-def _settle(retention_ms: int):
-    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = tuple(state.get) if state.exists else None
-        known, repeats = best, []
-        for pdf in batches:
-            for us, one, more in zip(pdf["received_us"], pdf["delivery_id"], pdf["repeats"]):
-                repeats.extend(int(x) for x in more)
-                new = (int(us), int(one))
-                if best is None or new < best:
-                    if best is not None:
-                        repeats.append(best[1])
-                    best = new
-                elif new[1] != best[1]:
-                    repeats.append(new[1])
-        state.update(best)
-        until = min(best[0] // 1000, 253_370_764_800_000) + retention_ms
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if best != known or repeats:
-            yield pd.DataFrame({"message": [key[0]], "received_us": [best[0]], "delivery_id": [best[1]], "stays": [True], "repeats": [[x for x in repeats if x != best[1]]]})
-
-    return settle
-
-
-def ledger_of_stream(spark: SparkSession, path: str, delay: str = "7 days", retention_days: int = 60, files_per_batch: int = 64) -> DataFrame:
-    """Run the stateful query over all that lies at path now and return its ledger.
-
-    delay: how far event time may run behind; retention_days: how long an identifier is kept behind the watermark.
+        yield pdf.sort_values(["received_us", "delivery_id"], kind="stable").drop_duplicates("message")
+
+
+def ledger_of_stream(spark: SparkSession, path: str, retention: str = RETENTION, files_per_batch: int = 64, ledger: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run the stateful query over all that is new at path and return its ledger, (message, received_us, delivery_id).
+
+    ledger, checkpoint: folders of an earlier call to go on from; without them both are new. files_per_batch: files of
+    a micro-batch.
     """
-    folder, options = stream_source(path)
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    seen = (
-        message_rows(source)
-        .mapInPandas(_fold_batch, _FOLDED)
-        .withWatermark("event_time", delay)
-        .groupBy("message")
-        .applyInPandasWithState(_settle(retention_days * 86_400_000), _LEDGER, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-    out = new_path(spark, "ledger")
-    query = (
-        seen.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", new_path(spark, "ledger-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    folder, options = stream_source(spark, path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).options(**options).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    rows = message_rows(source).mapInPandas(_first_of_batch, _ROW)
+    seen = rows.withWatermark("event_time", retention).dropDuplicatesWithinWatermark(["message"]).select("message", "received_us", "delivery_id")
+    out = ledger or new_path(spark, "ledger")
+    with rocksdb_state(spark):
+        query = (
+            seen.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint or new_path(spark, "ledger-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(_LEDGER).parquet(out)
 
 
 def settle_late(jobs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Deliveries to drop, (delivery_id): those the stream found, and by lookup those it could not judge.
+    """Deliveries to drop, (delivery_id): those that are absent from the ledger, but for the earliest of their message.
 
-    Deliveries absent from the ledger came behind the watermark. They, and messages for which the ledger holds several
-    first deliveries because their state had expired, are looked up by message: the earliest stays.
+    Ledger rows that an absent delivery precedes, or that came through again after their message was forgotten, are
+    dropped in turn. Identifiers alone are compared to find what is absent; the aggregate takes partial minima, so a
+    message with a third of all deliveries sends one row a task.
     """
-    repeats = ledger.select(F.explode("repeats").alias("delivery_id"))
-    firsts = ledger.select("message", "received_us", "delivery_id")
-    judged = firsts.select("delivery_id").unionByName(repeats)
-    late = message_rows(jobs).select("message", "received_us", "delivery_id").join(judged, "delivery_id", "left_anti")
-    open_rows = firsts.unionByName(late.select("message", "received_us", "delivery_id"))
-    best = open_rows.groupBy("message").agg(F.min(F.struct("received_us", "delivery_id")).alias("best"))
-    beaten = open_rows.join(best, "message").where(F.col("delivery_id") != F.col("best.delivery_id")).select("delivery_id")
-    return repeats.unionByName(beaten).distinct()
+    first = ledger.select("message", "received_us", "delivery_id", F.lit(True).alias("through"))
+    missing = message_rows(jobs.join(ledger.select("delivery_id"), "delivery_id", "left_anti")).select("message", "received_us", "delivery_id", F.lit(False).alias("through"))
+    absent = materialize(missing, "absent-deliveries")
+    best = F.min(F.struct("received_us", "delivery_id", "through"))
+    # as many ledger rows a message as it was forgotten times, and one
+    let = F.collect_list(F.when(F.col("through"), F.col("delivery_id")))
+    settled = first.unionByName(absent).groupBy("message").agg(best.alias("best"), let.alias("let"))
+    kept = settled.where("not best.through").select("best.delivery_id")
+    beaten = settled.select("best", F.explode("let").alias("delivery_id")).where("delivery_id <> best.delivery_id").select("delivery_id")
+    return absent.select("delivery_id").join(kept, "delivery_id", "left_anti").unionByName(beaten).distinct()
 
 
 def repeated_deliveries(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The deliveries of the table at path that repeat an earlier one. Empty tables give no rows."""
-    jobs = spark.read.parquet(path)
-    return settle_late(jobs, ledger_of_stream(spark, path, **options))
+    """The deliveries of the table at path that repeat an earlier one. Empty tables give no rows. options: of ledger_of_stream."""
+    return settle_late(spark.read.parquet(path), ledger_of_stream(spark, path, **options))

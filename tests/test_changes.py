@@ -81,7 +81,7 @@ def test_messages_once_whatever_the_batches(spark, tmp_path, files):
             _job(9, 150, seq=None), _job(10, 1, seq=" "), _job(11, None), _job(12, 0, seq="0"), _job(13, 0, seq="00"), _job(14, 400, trace="z"), _job(15, 399, trace="z"), _job(None, 0), _job(16, 0)]
     for part in range(files):
         spark.createDataFrame(jobs[part::files], JOBS).coalesce(1).write.mode("append").parquet(str(tmp_path / "jobs.parquet"))
-    got = sorted(r.delivery_id for r in repeated_deliveries(spark, str(tmp_path / "jobs.parquet"), files_per_batch=1, retention_days=30).collect())
+    got = sorted(r.delivery_id for r in repeated_deliveries(spark, str(tmp_path / "jobs.parquet"), files_per_batch=1, retention="30 days").collect())
     assert got == _drop(jobs)
 
 
@@ -91,3 +91,31 @@ def test_a_hot_message_and_an_empty_table(spark, tmp_path):
     assert sorted(r.delivery_id for r in repeated_deliveries(spark, str(tmp_path / "hot")).collect()) == _drop(jobs)
     spark.createDataFrame([], JOBS).write.parquet(str(tmp_path / "none"))
     assert repeated_deliveries(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    jobs = [_job(i, (i * 7) % 90, trace=f"t{i % 40}", seq=str(i % 3)) for i in range(300)]
+    at = str(tmp_path / "jobs.parquet")
+    go_on = {"ledger": str(tmp_path / "ledger"), "checkpoint": str(tmp_path / "checkpoint"), "retention": "20 days", "files_per_batch": 1}
+    for part in range(3):
+        spark.createDataFrame(jobs[part * 100 : part * 100 + 100], JOBS).coalesce(1).write.mode("append").parquet(at)
+        got = sorted(r.delivery_id for r in repeated_deliveries(spark, at, **go_on).collect())
+        assert got == _drop(jobs[: part * 100 + 100])
+    held = spark.read.parquet(go_on["ledger"]).count()
+    assert sorted(r.delivery_id for r in repeated_deliveries(spark, at, **go_on).collect()) == _drop(jobs)
+    assert spark.read.parquet(go_on["ledger"]).count() == held
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from docloom import io
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(spark.sparkContext.getConf)
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            io.shared_dir(Cluster)
