@@ -25,10 +25,11 @@ GRAMS, LANDMARKS, SAMPLE, SEGMENTS = 1 << 13, 240, 120, 3
 RIDGE = 1e-2
 #: Sharpness of the confidence: softmax of the scores times this.
 SHARP = 4.0
-#: A segment of fewer letters (one Chinese or Japanese character counts as three) names no language by itself.
-LEAST_LETTERS = 12
-#: A segment whose best language has less confidence than this (headings of a few words) is left open.
-LEAST_CONFIDENCE = 0.71
+#: Characters of a document, and of one of its segments, that are read to fit the kernel.
+FIT_CHARS, FIT_SEGMENT = 6000, 1500
+#: What a segment needs to count as foreign, or for its version's main language while others have it: letters (one
+#: Chinese or Japanese character counts as three), and confidence. Every segment has its language whatever these are.
+LEAST_LETTERS, LEAST_CONFIDENCE = 12, 0.71
 
 # Codes of the six languages with two and with three letters.
 CODES = {
@@ -133,7 +134,7 @@ def training_segments(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[
     if part is None:
         return [], []
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.where((draw < part[F.col("label")]) & (F.length("text") >= 60)).select("label", F.substr(F.col("text"), F.lit(1), F.lit(6000)).alias("text"))
+    picked = rows.where((draw < part[F.col("label")]) & (F.length("text") >= 60)).select("label", F.substr(F.col("text"), F.lit(1), F.lit(FIT_CHARS)).alias("text"))
     texts, labels, used = [], [], dict.fromkeys(counts, 0)
     for r in picked.limit(len(counts) * sample * 2).collect():
         if used[r.label] >= sample:
@@ -141,17 +142,18 @@ def training_segments(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[
         used[r.label] += 1
         blocks = [b for b, ok in segments_of(r.text) if ok and len(b) >= 40]
         for b in blocks[-SEGMENTS:]:
-            texts.append(b[:1500])
+            texts.append(b[:FIT_SEGMENT])
             labels.append(r.label)
     return texts, labels
 
 
-_SCORED = "version_pk string, chunk_id string, langs array<string>, confidence array<float>, sizes array<int>"
+_SCORED = "version_pk string, chunk_id string, langs array<string>, confidence array<float>, letters array<int>, sizes array<int>"
 
 
 def _classify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(shared.value)
+        trained = bool(kernel.weights.any())
         for b in batches:
             for at in range(0, b.num_rows, 32):
                 part = b.slice(at, 32)
@@ -159,50 +161,64 @@ def _classify(shared):
                 flat = [(i, s) for i, x in enumerate(blocks) for s, ok in x if ok]
                 langs: list[list] = [[None] * len(x) for x in blocks]
                 sure: list[list] = [[None] * len(x) for x in blocks]
+                many: list[list] = [[0] * len(x) for x in blocks]
                 sizes = [[len(s.encode("utf-8", "replace")) for s, _ in x] for x in blocks]
                 if flat:
-                    best, trust = [], []
+                    best, trust, size = [], [], []
                     for lo in range(0, len(flat), 256):
                         score, letters = kernel.scores([s for _, s in flat[lo : lo + 256]])
                         e = np.exp(SHARP * (score - score.max(1, keepdims=True)))
                         p = e.max(1) / e.sum(1)
-                        best += [LANGUAGES[k] if n >= LEAST_LETTERS and q >= LEAST_CONFIDENCE else None for k, n, q in zip(score.argmax(1), letters, p)]
+                        best += [LANGUAGES[k] if n and trained else None for k, n in zip(score.argmax(1), letters)]
                         trust += p.tolist()
+                        size += letters.astype(int).tolist()
                     k = 0
                     for i, x in enumerate(blocks):
                         for j, (_, ok) in enumerate(x):
                             if ok:
-                                langs[i][j], sure[i][j] = best[k], trust[k] if best[k] else None
+                                langs[i][j], sure[i][j], many[i][j] = best[k], trust[k] if best[k] else None, size[k]
                                 k += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("version_pk"), part.column("chunk_id"), pa.array(langs, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.int32()))],
-                    names=["version_pk", "chunk_id", "langs", "confidence", "sizes"],
+                    [part.column("version_pk"), part.column("chunk_id"), pa.array(langs, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.float32())), pa.array(many, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
+                    names=["version_pk", "chunk_id", "langs", "confidence", "letters", "sizes"],
                 )
 
     return run
 
 
 def segment_languages(spark: SparkSession, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(version_pk, chunk_id, seg_no, lang, confidence, size): each block between empty lines; size in bytes.
+    """(version_pk, chunk_id, seg_no, lang, confidence, letters, size): each block between empty lines; size in bytes.
 
-    lang is null for code, tables, and blocks of too few letters or too little confidence. Null and empty texts have no blocks. Exact duplicates
-    of a chunk count once. Without any labelled document nothing can be told and lang is null throughout.
+    lang is null only for what has no language: code, tables, and blocks without a letter. Null and empty texts have no
+    blocks. Exact duplicates of a chunk count once. Without any labelled document nothing can be told and lang is null
+    throughout.
     """
     texts, labels = training_segments(documents)
     weights = fit_kernel(texts, labels).weights if texts else np.zeros((GRAMS, len(LANGUAGES)), np.float32)
     rows = chunks.select("version_pk", "chunk_id", "text").mapInArrow(_classify(spark.sparkContext.broadcast(weights)), _SCORED)
     rows = rows.dropDuplicates(["version_pk", "chunk_id"])
-    each = F.posexplode(F.arrays_zip("langs", "confidence", "sizes"))
+    each = F.posexplode(F.arrays_zip("langs", "confidence", "letters", "sizes"))
     return rows.select("version_pk", "chunk_id", each.alias("pos", "s")).select(
-        "version_pk", "chunk_id", (F.col("pos") + 1).cast("int").alias("seg_no"), "s.langs", F.col("s.confidence").alias("confidence"), F.col("s.sizes").alias("size")
-    ).withColumnRenamed("langs", "lang")
+        "version_pk", "chunk_id", (F.col("pos") + 1).cast("int").alias("seg_no"), F.col("s.langs").alias("lang"), F.col("s.confidence").alias("confidence"),
+        F.col("s.letters").alias("letters"), F.col("s.sizes").alias("size"),
+    )
 
 
-def version_languages(segments: DataFrame) -> DataFrame:
-    """(version_pk, lang, confidence): the language of most of a version's text; ties go to the first in the alphabet."""
-    known = segments.where("lang is not null").groupBy("version_pk", "lang").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("confidence")).alias("trust"))
-    top = known.groupBy("version_pk").agg(F.min(F.struct((-F.col("size")).alias("less"), "lang", "trust")).alias("t"), F.sum("size").alias("every"))
-    return top.select("version_pk", "t.lang", F.round(F.col("t.trust") / F.col("every"), 4).alias("confidence"))
+def _sure(letters: int, confidence: float) -> Column:
+    return (F.col("letters") >= letters) & (F.col("confidence") >= confidence)
+
+
+def version_languages(segments: DataFrame, letters: int = LEAST_LETTERS, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(version_pk, lang, confidence, sure): the language of most of a version's text; ties go to the first in the alphabet.
+
+    Segments of so many letters and so much confidence decide; where a version has none, all its segments do, and sure
+    is false.
+    """
+    known = segments.where("lang is not null").withColumn("sure", _sure(letters, confidence))
+    sums = known.groupBy("version_pk", "sure", "lang").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("confidence")).alias("trust"))
+    top = sums.groupBy("version_pk", "sure").agg(F.min(F.struct((-F.col("size")).alias("less"), "lang", "trust")).alias("t"), F.sum("size").alias("every"))
+    best = top.groupBy("version_pk").agg(F.max_by(F.struct("t", "every"), "sure").alias("b"), F.max("sure").alias("sure"))
+    return best.select("version_pk", "b.t.lang", F.round(F.col("b.t.trust") / F.col("b.every"), 4).alias("confidence"), "sure")
 
 
 def version_labels(jobs: DataFrame) -> DataFrame:
@@ -210,10 +226,12 @@ def version_labels(jobs: DataFrame) -> DataFrame:
     return jobs.where("version_pk is not null").groupBy("version_pk").agg(F.max(label_language(F.col("language"))).alias("label"))
 
 
-def wrong_labels(segments: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Versions whose label is missing or wrong, and segments in another than the main language of their version."""
-    main = version_languages(segments)
+def wrong_labels(segments: DataFrame, jobs: DataFrame, letters: int = LEAST_LETTERS, confidence: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Versions whose label is missing or wrong, and segments (of so many letters and so much confidence) in another than
+    the main language of their version. Versions without a segment of that kind (character strings, numbers) are left out."""
+    main = version_languages(segments, letters, confidence).where("sure")
     labelled = main.join(version_labels(jobs), "version_pk", "left")
     wrong = labelled.where(~F.col("label").eqNullSafe(F.col("lang"))).select("version_pk", "lang", "confidence")
-    other = segments.where("lang is not null").join(main.select("version_pk", F.col("lang").alias("main")), "version_pk").where("lang <> main")
+    foreign = segments.where("lang is not null").where(_sure(letters, confidence))
+    other = foreign.join(main.select("version_pk", F.col("lang").alias("main")), "version_pk").where("lang <> main")
     return wrong, other.select("version_pk", "chunk_id", "seg_no", "lang", "confidence")

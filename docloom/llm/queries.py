@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.io import materialize, table
-from docloom.llm.languages import segment_languages, wrong_labels
+from docloom.llm.languages import segment_languages, version_languages, wrong_labels
 from docloom.llm.leaks import leaked_items
 from docloom.llm.levels import reading_levels
 from docloom.llm.mixture import mixture
@@ -26,6 +26,10 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_languages(spark, table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
 
 
+def p2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return version_languages(p2_segments(spark, sf_dir))
+
+
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = materialize(p2_segments(spark, sf_dir), "segments")
     wrong, other = wrong_labels(segments, table(spark, sf_dir, "extract_jobs"))
@@ -70,6 +74,8 @@ QUERIES = {
     "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
+    "p2_segments": p2_segments,
+    "p2_versions": p2_versions,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,

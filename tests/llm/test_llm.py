@@ -153,8 +153,12 @@ def test_segments_in_another_language_are_found(spark):
     got = {(r.version_pk, r.chunk_id, r.seg_no, r.lang) for r in other.collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 1
     assert {(r.version_pk, r.lang) for r in wrong.collect()} == {(k, v) for i, (k, v) in enumerate(main_of.items()) if i % 3}
-    assert segments.where("version_pk = 'n' and lang is not null").count() == 0
-    assert segments.where("lang is not null and (confidence < 0.71 or confidence > 1)").count() == 0
+    assert segments.where("(lang is null) <> (confidence is null) or confidence <= 0 or confidence > 1 or lang is null and seg_no in (1, 3, 5)").count() == 0
+    assert segments.where("version_pk like 'v%' and lang is not null and seg_no in (2, 4, 6, 7)").count() == 0
+    everyone = {r.version_pk: r.lang for r in languages.version_languages(segments).collect()}
+    assert {k: everyone[k] for k in main_of} == main_of
+    short = materialize(languages.segment_languages(spark, spark.createDataFrame([("s", 1, "c", "x", "Reader\n\n1: 2\n\nLa revue", None, None, 0, 0, None)], CHUNK), labelled), "t")
+    assert [r.lang is None for r in short.orderBy("seg_no").collect()] == [False, True, False] and languages.version_languages(short).count() == 1
 
 
 def test_labels_name_languages(spark):
@@ -325,6 +329,32 @@ def test_levels_follow_the_graded_examples(spark):
     assert len(got) == len(rows) + len(edges) + 3 and all(r.score is None or 1 <= r.score <= 3 for r in got)
 
 
+def test_levels_settle_at_the_harmonic_solution(spark):
+    """Against the linear system solved whole, on a small graph."""
+    rng = random.Random(12)
+    pool = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(pool[i % 30 : i % 30 + 10]) for _ in range(12)), "en", "s") for i in range(60)]
+    grades = [(i, "g", 1 + i // 6 % 3, "t", 0.0) for i in range(0, 60, 6)]
+    edges = materialize(levels.graph(docs(spark, rows), spark.createDataFrame(grades, GRADES), 256), "t")
+    scores, known, steps = levels.settle(spark, edges, 1e-5, 256)
+    got = edges.collect()
+    n, d = levels._nodes(256), len(got)
+    w = np.zeros((d, n))
+    for k, r in enumerate(got):
+        w[k, r.nodes] = r.weights
+    fixed = np.array([np.nan if r.grade is None else r.grade for r in got])
+    mix = np.zeros((d + n, d + n))
+    mix[:d, d:], mix[d:, :d] = w, w.T
+    mix /= np.maximum(mix.sum(1, keepdims=True), 1e-12)
+    free = np.concatenate([np.isnan(fixed), w.sum(0) > 0])
+    clamp = np.flatnonzero(~np.isnan(fixed))
+    solved = np.linalg.solve(np.eye(free.sum()) - mix[np.ix_(free, free)], mix[np.ix_(free, clamp)] @ fixed[clamp])
+    want = np.zeros(d + n)
+    want[free] = solved
+    assert known.sum() == (w.sum(0) > 0).sum() and 3 < steps < levels.MOST_STEPS
+    assert np.abs(scores - want[d:])[known > 0].max() < 1e-3
+
+
 def test_levels_without_grades_or_documents(spark):
     none = spark.createDataFrame([], GRADES)
     assert [r.grade for r in levels.reading_levels(spark, docs(spark, [(1, "some text", "en", "s")]), none).collect()] == [None]
