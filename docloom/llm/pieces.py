@@ -1,9 +1,10 @@
 """Cutting oversized texts at natural boundaries, range by range.
 
 A text, or a file of any size, is seen as ranges. Tasks measure each range with a halo of a few characters on either
-side and list the places where it may be cut; the measures are put together by prefix sums in two levels, so that no
-task sees a whole text. The cut nearest below each multiple of the step is then chosen with one aggregate per cut, which
-needs no pass from left to right, and the pieces are put together from the ranges that they touch.
+side; the measures are put together by prefix sums in two levels, so that no task sees a whole text. Once a range knows
+what lies before it, its task finds the best boundary below each multiple of the step; the best over the ranges is one
+aggregate, which needs no pass from left to right, and the pieces are put together from the ranges that they touch. Ranges
+are read anew for each of these steps (files by seeking), not kept.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ RANGE, HALO, STITCH = 8192, 4, 1024
 #: Kinds of boundary, best last.
 ANYWHERE, SPACE, SENTENCE, LINE, BLOCK = range(5)
 _RANGE_ROW = "item string, no long, before string, text string, after string"
-_MEASURED = "item string, no long, size long, kept long, ends_blank boolean, text string, cuts array<struct<at: int, kept: int, level: int>>"
+_MEASURED = "item string, no long, size long, kept long, ends_blank boolean"
+_CUTS = "item string, cut long, level int, kept long, at long"
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -35,18 +37,34 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(s) / CHARS_A_TOKEN)
 
 
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+            text = text or ""
+            at = range(0, max(1, len(text)), RANGE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item] * len(at), pa.string()), pa.array(range(len(at)), pa.int64()), pa.array([text[max(0, a - HALO) : a] for a in at], pa.string()),
+                 pa.array([text[a : a + RANGE] for a in at], pa.string()), pa.array([text[a + RANGE : a + RANGE + HALO] for a in at], pa.string())],
+                names=["item", "no", "before", "text", "after"],
+            )
+
+
 def text_ranges(items: DataFrame) -> DataFrame:
-    """Ranges of the texts of (item, text)."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / RANGE)).cast("long")
-    rows = items.select("item", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no"))
-    at = (F.col("no") * RANGE).cast("int")
-    cut = lambda a, k: F.substr(F.col("text"), a, F.lit(k))
-    before = F.when(at > 0, cut(at + 1 - HALO, HALO)).otherwise("")
-    return rows.select("item", "no", before.alias("before"), cut(at + 1, RANGE).alias("text"), cut(at + 1 + RANGE, HALO).alias("after"))
+    """Ranges of the texts of (item, text), cut in one pass over each text."""
+    return items.select("item", "text").mapInArrow(_cut_texts, _RANGE_ROW)
+
+
+def read_range(uri: str, lo: int, n: int) -> bytes:
+    """n bytes from place lo of a file on any file system that Arrow knows: local, HDFS, S3 and others."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else uri.replace("file:", "file://", 1))
+    with system.open_input_file(path) as f:
+        return f.read_at(n, lo)
 
 
 def file_ranges(spark: SparkSession, path: str, size: int = 1 << 22) -> DataFrame:
-    """Byte ranges of the UTF-8 files under path, on a file system that all tasks reach under that path.
+    """Byte ranges of the UTF-8 files under path.
 
     A task opens a file, seeks, and reads one range and its halo: no file is loaded whole. A character belongs to the
     range in which its first byte lies. Malformed bytes become replacement characters.
@@ -59,9 +77,7 @@ def file_ranges(spark: SparkSession, path: str, size: int = 1 << 22) -> DataFram
         for b in batches:
             for item, no in zip(b.column("item").to_pylist(), b.column("no").to_pylist()):
                 lo = max(0, no * size - 4 * HALO)
-                with open(item.removeprefix("file:"), "rb") as f:
-                    f.seek(lo)
-                    raw = f.read(no * size - lo + size + 4 * HALO)
+                raw = read_range(item, lo, no * size - lo + size + 4 * HALO)
                 first, last = no * size - lo, no * size - lo + size
                 while first < len(raw) and first > 0 and raw[first] & 0xC0 == 0x80:
                     first += 1
@@ -73,17 +89,23 @@ def file_ranges(spark: SparkSession, path: str, size: int = 1 << 22) -> DataFram
     return parts.repartition("item", "no").mapInArrow(read, _RANGE_ROW)
 
 
-def _boundaries(before: str, text: str, after: str) -> tuple[int, bool, list[dict]]:
-    """Characters that stay once white space is collapsed, whether the range ends blank, and where it may be cut."""
+def _kept(before: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of halo and range, their classes, and how many characters of the range stay, once white space is
+    collapsed, before each of them and in all."""
     kinds, _, _ = arrays.tables()
-    points, _ = arrays.code_points([before + text + after])
+    points, _ = arrays.code_points([before + text])
     points = points[:-1]
     kind = kinds[np.where(points > 0xFFFF, 0, points)]
-    a, n = len(before), len(text)
+    a = len(before)
     blank = (kind == arrays.SPACE) | (kind == arrays.LINE)
     prior = np.concatenate([[True], blank[:-1]]) if a == 0 else np.concatenate([[blank[0]], blank[:-1]])
-    stays = ~(blank & prior)
-    kept = np.concatenate([[0], np.cumsum(stays[a : a + n])])
+    return kind, blank, np.concatenate([[0], np.cumsum(~(blank & prior)[a:])])
+
+
+def _boundaries(before: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a range may be cut: place, characters that stay before it, kind of boundary."""
+    kind, blank, kept = _kept(before, text)
+    a, n = len(before), len(text)
     level = np.full(n + 1, -1, np.int8)
     level[:: 64] = ANYWHERE
     here = np.arange(a, a + n)
@@ -100,24 +122,40 @@ def _boundaries(before: str, text: str, after: str) -> tuple[int, bool, list[dic
     level[soft[newline[near(1)] & newline[near(2)] & (soft >= 2)] - a] = BLOCK
     level[n] = -1
     at = np.flatnonzero(level >= 0)
-    cuts = [{"at": int(i), "kept": int(kept[i]), "level": int(level[i])} for i in at]
-    return int(kept[-1]), bool(n and blank[a + n - 1]), cuts
+    return at, kept[at], level[at]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("kept", pa.int32()), ("level", pa.int32())]))
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("before", "text", "after")]
-        done = [_boundaries(x or "", y or "", z or "") for x, y, z in zip(*cols)]
+        done = [(len(t or ""), *_kept(x or "", t or "")[1:]) for x, t in zip(b.column("before").to_pylist(), b.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [b.column("item"), b.column("no"), pa.array([len(y or "") for y in cols[1]], pa.int64()), pa.array([d[0] for d in done], pa.int64()),
-             pa.array([d[1] for d in done]), b.column("text"), pa.array([d[2] for d in done], kind)],
-            names=["item", "no", "size", "kept", "ends_blank", "text", "cuts"],
-        )
+            [b.column("item"), b.column("no"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([int(kept[-1]) for _, _, kept in done], pa.int64()), pa.array([bool(n and blank[-1]) for n, blank, _ in done])],
+            names=["item", "no", "size", "kept", "ends_blank"],
+        )
+
+
+def _best_cuts(step: int, slack: int):
+    """Of each range, the best boundary below each multiple of the step: the best kind wins, then the latest place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for item, before, text, size0, kept0 in zip(*(b.column(c).to_pylist() for c in ("item", "before", "text", "size_before", "kept_before"))):
+                at, kept, level = _boundaries(before or "", text or "")
+                kept = kept + kept0
+                cut = -(-kept // step)
+                near = np.flatnonzero((cut > 0) & (cut * step - kept < slack))
+                near = near[np.lexsort((at[near], kept[near], level[near], cut[near]))]
+                last = np.flatnonzero(np.diff(cut[near], append=-1))
+                for c, v in zip(out, ([item] * len(last), cut[near][last], level[near][last], kept[near][last], at[near][last] + size0)):
+                    c.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["item", "cut", "level", "kept", "at"])
+
+    return run
 
 
 def measured(ranges: DataFrame) -> DataFrame:
-    """The boundary table: each range with its measures and cuts."""
+    """(item, no, size, kept, ends_blank): the measures of each range."""
     return ranges.mapInArrow(_measure, _MEASURED)
 
 
@@ -136,54 +174,62 @@ def stitched(ranges: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("item").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sums.select("item", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "sk"])
     inside = Window.partitionBy("item", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    narrow = rows.select("item", "block", "no", "size", "kept", "cuts")
-    both = narrow.withColumns({"s1": F.coalesce(F.sum("size").over(inside), F.lit(0)), "k1": F.coalesce(F.sum("kept").over(inside), F.lit(0))})
-    return both.join(blocks, ["item", "block"]).select("item", "no", "size", "kept", "cuts", (F.col("s0") + F.col("s1")).alias("size_before"), (F.col("k0") + F.col("k1")).alias("kept_before"))
+    both = rows.withColumns({"s1": F.coalesce(F.sum("size").over(inside), F.lit(0)), "k1": F.coalesce(F.sum("kept").over(inside), F.lit(0))})
+    return both.join(blocks, ["item", "block"]).select("item", "no", "size", "kept", (F.col("s0") + F.col("s1")).alias("size_before"), (F.col("k0") + F.col("k1")).alias("kept_before"))
 
 
-def piece_bounds(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
+def piece_bounds(ranges: DataFrame, places: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(item, piece, first, last, at): pieces from first to last (code points from the item's start); at is where the overlap ends.
 
-    limit and overlap are in estimated tokens. Cuts lie at most a slack of a fifth of the room below multiples of the
-    step, and step + slack + overlap is the limit: no piece can be longer.
+    places: the stitched measures of the ranges; limit and overlap are in estimated tokens. Cuts lie at most a slack of a
+    fifth of the room below multiples of the step, and step + slack + overlap is the limit: no piece can be longer.
     """
     room = (limit - overlap) * CHARS_A_TOKEN
     step = max(64, room * 4 // 5)
     slack = room - step - 1
-    rows = stitched(ranges)
-    cuts = rows.select("item", F.col("size_before").alias("s"), F.col("kept_before").alias("k"), F.explode("cuts").alias("c"))
-    cuts = cuts.select("item", (F.col("s") + F.col("c.at")).alias("at"), (F.col("k") + F.col("c.kept")).alias("kept"), F.col("c.level").alias("level"))
-    number = F.ceil(F.col("kept") / step).cast("long")
-    near = cuts.withColumn("cut", number).where((F.col("cut") > 0) & (F.col("cut") * step - F.col("kept") < slack))
-    # the best level wins, then the latest place
-    best = near.groupBy("item", "cut").agg(F.max(F.struct("level", "kept", "at")).alias("b")).select("item", "cut", F.col("b.at").alias("at"))
-    whole = rows.groupBy("item").agg(F.sum("size").alias("size"), F.sum("kept").alias("kept"))
-    inner = best.join(whole.select("item", "size"), "item").where(F.col("at") < F.col("size")).select("item", F.col("cut").alias("piece"), "at")
+    placed = ranges.join(places.select("item", "no", "size_before", "kept_before"), ["item", "no"])
+    cuts = placed.select("item", "before", "text", "size_before", "kept_before").mapInArrow(_best_cuts(step, slack), _CUTS)
+    best = cuts.groupBy("item", "cut").agg(F.max(F.struct("level", "kept", "at")).alias("b")).select("item", "cut", F.col("b.at").alias("at"))
+    whole = places.groupBy("item").agg(F.sum("size").alias("size"))
+    inner = best.join(whole, "item").where(F.col("at") < F.col("size")).select("item", F.col("cut").alias("piece"), "at")
     starts = inner.unionByName(whole.select("item", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("at")))
     ends = inner.select("item", (F.col("piece") - 1).alias("piece"), F.col("at").alias("last"))
-    spans = starts.join(ends, ["item", "piece"], "left").join(whole.select("item", "size"), "item")
+    spans = starts.join(ends, ["item", "piece"], "left").join(whole, "item")
     return spans.select("item", "piece", F.greatest(F.lit(0), F.col("at") - overlap * CHARS_A_TOKEN).alias("first"), F.coalesce("last", "size").alias("last"), "at")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part that each range gives to each of its pieces."""
+    for b in batches:
+        for item, no, text, parts in zip(*(b.column(c).to_pylist() for c in ("item", "no", "text", "parts"))):
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item] * n, pa.string()), pa.array([p["piece"] for p in parts], pa.int64()), pa.array([no] * n, pa.int64()), pa.array([text[p["lo"] : p["hi"]] for p in parts], pa.string())],
+                names=["item", "piece", "no", "part"],
+            )
+
+
 def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """(item, piece_no, first, last, text): each item of (item, no, before, text, after) as pieces within the limit.
 
     Every character of an item stands in a piece, in order. A piece begins with the last words of the one before it, at
     most overlap tokens of them. White space at the ends of a piece is stripped. Empty items give one empty piece.
     """
-    base = materialize(measured(ranges), "piece-ranges")
-    spans = materialize(piece_bounds(base, limit, overlap), "piece-bounds")
-    places = stitched(base).select("item", "no", "size_before", (F.col("size_before") + F.col("size")).alias("size_after"))
+    stitch = materialize(stitched(measured(ranges)), "piece-places")
+    spans = materialize(piece_bounds(ranges, stitch, limit, overlap), "piece-bounds")
+    places = stitch.select("item", "no", "size_before", (F.col("size_before") + F.col("size")).alias("size_after"))
     # a piece touches few ranges: step and range are of one order of size, so ranges are met through equal cells of RANGE
     cell = lambda c: F.floor(c / RANGE).cast("long")
     wanted = spans.select("*", F.explode(F.sequence(cell(F.col("first")), cell(F.greatest(F.col("first"), F.col("last") - 1)))).alias("cell"))
     offered = places.select("*", F.explode(F.sequence(cell(F.col("size_before")), cell(F.greatest(F.col("size_before"), F.col("size_after") - 1)))).alias("cell"))
     touch = (F.col("size_before") < F.col("last")) & (F.col("size_after") > F.col("first"))
     met = wanted.join(offered, ["item", "cell"]).where(touch).dropDuplicates(["item", "piece", "no"])
-    part = F.substr(F.col("text"), (F.greatest(F.lit(0), F.col("first") - F.col("size_before")) + 1).cast("int"),
-                    (F.least("last", "size_after") - F.greatest("first", "size_before")).cast("int"))
-    texts = met.join(base.select("item", "no", "text"), ["item", "no"]).select("item", "piece", "first", "last", "at", F.struct("no", part.alias("part")).alias("p"))
-    whole = texts.groupBy("item", "piece", "first", "last", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("text"))
+    # a range is met once, with all the pieces that it gives a part to: as many as steps fit in it
+    part = F.struct("piece", F.greatest(F.lit(0), F.col("first") - F.col("size_before")).alias("lo"), (F.least("last", "size_after") - F.col("size_before")).alias("hi"))
+    asked = met.groupBy("item", "no").agg(F.collect_list(part).alias("parts"))
+    texts = ranges.select("item", "no", "text").join(asked, ["item", "no"]).mapInArrow(_parts, "item string, piece long, no long, part string")
+    whole = texts.groupBy("item", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), "").alias("text"))
+    whole = whole.join(spans, ["item", "piece"])
     # the overlap begins at a word
     inside = (F.col("at") - F.col("first")).cast("int")
     lead = F.substr(F.col("text"), F.lit(1), inside)
@@ -211,7 +257,7 @@ def _may_exceed(chunks: DataFrame, limit: int) -> DataFrame:
 def oversized(chunks: DataFrame, limit: int = LIMIT_TOKENS) -> DataFrame:
     """(version_pk, chunk_id, tokens) of the chunks over the limit, whatever their token_estimate says. Null texts are not."""
     items = chunk_items(_may_exceed(chunks, limit))
-    sizes = item_tokens(measured(text_ranges(items)).drop("text", "cuts"))
+    sizes = item_tokens(measured(text_ranges(items)))
     key = F.from_json("item", "version_pk string, chunk_id string")
     return sizes.where(F.col("tokens") > limit).select(key.alias("key"), "tokens").select("key.version_pk", "key.chunk_id", "tokens")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.io import materialize, table
+from docloom.io import materialize, new_path, table
 from docloom.llm.languages import segment_languages, version_languages, wrong_labels
 from docloom.llm.leaks import leaked_items
 from docloom.llm.levels import reading_levels
 from docloom.llm.mixture import mixture
-from docloom.llm.pieces import oversized, split_chunks
+from docloom.llm.pieces import file_ranges, oversized, pieces, split_chunks
 from docloom.llm.scans import page_noise, paragraphs, repaired_pages
 
 
@@ -49,6 +49,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(table(spark, sf_dir, "chunks"))
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each kind and language as text files, cut into pieces by byte ranges."""
+    at = new_path(spark, "corpus-files")
+    kind = F.concat_ws("-", F.coalesce("doc_type", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(kind.alias("kind"), F.concat("text", F.lit("\n")).alias("value"))
+    texts.repartition("kind", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("kind").text(at)
+    cut = pieces(file_ranges(spark, at, 1 << 20))
+    return cut.select(F.regexp_extract("item", "kind=([^/]*)", 1).alias("kind"), "piece_no", "first", "last", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -78,6 +88,7 @@ QUERIES = {
     "p2_versions": p2_versions,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_files": p5_files,
     "p6_found": p6_found,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
