@@ -37,6 +37,11 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(s) / CHARS_A_TOKEN)
 
 
+def _rows(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows one after another: a batch of large ranges is never a list of strings as a whole."""
+    return (tuple(x.as_py() for x in row) for row in zip(*(b.column(n) for n in names)))
+
+
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
@@ -125,13 +130,16 @@ def _boundaries(before: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at, kept[at], level[at]
 
 
+def _measures(before: str, text: str) -> tuple[int, int, bool]:
+    _, blank, kept = _kept(before, text)
+    return len(text), int(kept[-1]), bool(text and blank[-1])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        done = [(len(t or ""), *_kept(x or "", t or "")[1:]) for x, t in zip(b.column("before").to_pylist(), b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("item"), b.column("no"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([int(kept[-1]) for _, _, kept in done], pa.int64()), pa.array([bool(n and blank[-1]) for n, blank, _ in done])],
-            names=["item", "no", "size", "kept", "ends_blank"],
-        )
+        done = [_measures(x.as_py() or "", t.as_py() or "") for x, t in zip(b.column("before"), b.column("text"))]
+        size, kept, blank = zip(*done) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([b.column("item"), b.column("no"), pa.array(size, pa.int64()), pa.array(kept, pa.int64()), pa.array(blank, pa.bool_())], names=["item", "no", "size", "kept", "ends_blank"])
 
 
 def _best_cuts(step: int, slack: int):
@@ -140,7 +148,7 @@ def _best_cuts(step: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for item, before, text, size0, kept0 in zip(*(b.column(c).to_pylist() for c in ("item", "before", "text", "size_before", "kept_before"))):
+            for item, before, text, size0, kept0 in _rows(b, "item", "before", "text", "size_before", "kept_before"):
                 at, kept, level = _boundaries(before or "", text or "")
                 kept = kept + kept0
                 cut = -(-kept // step)
@@ -201,7 +209,7 @@ def piece_bounds(ranges: DataFrame, places: DataFrame, limit: int, overlap: int)
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The part that each range gives to each of its pieces."""
     for b in batches:
-        for item, no, text, parts in zip(*(b.column(c).to_pylist() for c in ("item", "no", "text", "parts"))):
+        for item, no, text, parts in _rows(b, "item", "no", "text", "parts"):
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([item] * n, pa.string()), pa.array([p["piece"] for p in parts], pa.int64()), pa.array([no] * n, pa.int64()), pa.array([text[p["lo"] : p["hi"]] for p in parts], pa.string())],
