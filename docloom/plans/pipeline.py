@@ -424,37 +424,97 @@ def lookup_generations(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ Markdown and pages
 
-_LINES = f"""
-lines as (select doc_id, i as line_no, l[i] as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (
-    select doc_id, string_split({_NORM}, chr(10)) as l from documents where text is not null))),
-fenced as (select *, regexp_matches(line, '^\\s*(```|~~~)') as fence, coalesce(sum(regexp_matches(line, '^\\s*(```|~~~)')::int) over (
-    partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from lines),
-kinds as (select *, fence and not inside as opens, case when fence or inside then 'code_fence' when regexp_matches(line, '^\\s*$') then 'blank'
-    when regexp_matches(line, '^#{{1,6}}(\\s|$)') then 'heading' when regexp_matches(line, '^\\s*\\|') then 'table' when regexp_matches(line, '^\\s*>') then 'blockquote'
-    when regexp_matches(line, '^\\s*([-*+]|[0-9]{{1,9}}[.)])\\s') then 'list' else 'paragraph' end as kind from fenced),
-started as (select *, case when kind = 'blank' then 0 when before is null or (kind <> before and not (kind = 'paragraph' and before in ('list', 'blockquote'))) or kind = 'heading' or opens
-    then 1 else 0 end as s from (select *, lag(kind) over (partition by doc_id order by line_no) as before from kinds)),
-blocks as (select doc_id, block_no, min_by(kind, line_no) as kind, min(line_no) as first_line, max(line_no) as last_line, string_agg(line, chr(10) order by line_no) as text
-    from (select *, sum(s) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as block_no from started) where kind <> 'blank' group by doc_id, block_no),
-placed as (select *, sum((kind = 'heading')::int) over (partition by doc_id order by block_no rows between unbounded preceding and current row) as section_no from blocks)
+_FEATURES = f"""
+texts as (select doc_id, string_split({_NORM}, chr(10)) as l from documents where text is not null and {_NORM} <> ''),
+lines as (select doc_id, i, l[i] as line, l[i + 1] as after from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from texts)),
+marks as (select doc_id, i, trim(line) = '' as blank, line[1] = chr(9) or regexp_matches(line, '^ {{4}}') as deep, line[1] = chr(9) or regexp_matches(line, '^  ') as inner_,
+  regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) as f, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})(.*)$', 2) as info, regexp_extract(line, '^ {{0,3}}((`+)|(~+))\\s*$', 1) as bare,
+  regexp_matches(line, '^ {{0,3}}#{{1,6}}(\\s|$)') as head, length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})(\\s|$)', 1)) as level,
+  regexp_extract(line, '^ {{0,3}}(=+|-+)\\s*$', 1) as under, regexp_matches(line, '^ {{0,3}}((\\*\\s*){{3,}}|(-\\s*){{3,}}|(_\\s*){{3,}})$') as rule,
+  regexp_extract(line, '^ {{0,3}}([-*+]|[0-9]{{1,9}}[.)])(\\s|$)', 1) as item, regexp_matches(line, '^ {{0,3}}>') as quote,
+  contains(line, '|') and contains(coalesce(after, ''), '|') and regexp_matches(coalesce(after, ''), '^ {{0,3}}\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?\\s*$') as tabled,
+  regexp_matches(line, '^ {{0,3}}<([!?]|/?[A-Za-z])') as html from lines),
+features as (select doc_id, i, deep, inner_, f, level, under, right(item, 1) as mark, case when blank then 'blank' when f <> '' and not (f[1] = '`' and contains(info, '`')) then 'fence' else '' end as pre,
+  bare, head, rule, item <> '' as listed, quote, tabled, html from marks)
 """
-
-
-@query(f"with {_LINES} select doc_id, cast(block_no as bigint) as block_no, kind, first_line, last_line, cast(section_no as bigint) as section_no, sha1(text) as digest from placed")
+# one step of the scanner: what the line is, given the block that the line before belongs to (o), the list or code that may go on
+# behind empty lines (g), its mark, and the open fence (fence)
+_STEP = """case when fence <> '' then 'fenced' when pre = 'blank' then 'blank' when pre = 'fence' then 'fence' when o = 'html_block' then 'same' when coalesce(nullif(o, ''), g) = 'list' and inner_ then 'going'
+  when head then 'heading' when o = 'paragraph' and under <> '' then 'under' when rule then 'rule' when listed then case when coalesce(nullif(o, ''), g) = 'list' and m = mark then 'going' else 'list' end
+  when quote then case when o = 'blockquote' then 'same' else 'blockquote' end
+  when deep then case when o in ('paragraph', 'list', 'blockquote', 'table') then 'same' when coalesce(nullif(o, ''), g) = 'code_block' then 'going' else 'code_block' end
+  when tabled and o not in ('list', 'blockquote', 'table') then 'table' when html and o not in ('paragraph', 'table') then 'html_block'
+  when o in ('paragraph', 'list', 'blockquote', 'table', 'html_block') then 'same' else 'paragraph' end"""
+_SCAN = f"""
+state as (
+  select doc_id, 0::bigint as i, '' as step, '' as kind, '' as o, '' as g, '' as m, '' as fence, 0::bigint as block_no, 0 as level from texts
+  union all
+  select doc_id, i, step,
+    case when step in ('blank', 'rule') then '' when step = 'under' then 'heading' when step = 'fence' or step = 'fenced' then 'code_fence' when step = 'same' then o when step = 'going' then coalesce(nullif(o, ''), g) else step end as kind,
+    case when step in ('blank', 'rule', 'under', 'heading', 'fence', 'fenced') then '' when step = 'same' then o when step = 'going' then coalesce(nullif(o, ''), g) else step end,
+    case when step = 'blank' then g when step = 'same' then case when o in ('list', 'code_block') then o else '' end when step = 'going' then coalesce(nullif(o, ''), g) when step in ('list', 'code_block') then step else '' end,
+    case when step = 'list' then mark else m end,
+    case when step = 'fence' then f when step = 'fenced' and bare <> '' and bare[1] = fence[1] and length(bare) >= length(fence) then '' else fence end,
+    case when step in ('fence', 'heading', 'list', 'blockquote', 'code_block', 'table', 'html_block', 'paragraph') then block_no + 1 else block_no end,
+    case when step = 'heading' then level when step = 'under' then case when under[1] = '=' then 1 else 2 end else 0 end
+  from (select f.*, s.o, s.g, s.m, s.fence, s.block_no, {_STEP} as step from state s join features f on f.doc_id = s.doc_id and f.i = s.i + 1)
+)"""
+_BLOCKS = f"""{_FEATURES}, {_SCAN},
+spans as (select doc_id, block_no, case when max(level) > 0 then 'heading' else min_by(kind, i) end as kind, max(level) as level, min(i) as first_line, max(i) as last_line,
+  bool_or(step = 'under') as underlined from state where kind <> '' group by doc_id, block_no),
+placed as (select s.*, sum((kind = 'heading')::int) over (partition by s.doc_id order by block_no) as section_no,
+  regexp_replace(regexp_replace(array_to_string(l[first_line:last_line], chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as text from spans s join texts t on s.doc_id = t.doc_id)"""
+_SECTIONS = f"""{_BLOCKS},
+sections as (select doc_id, section_no, count(*) as n_blocks, string_agg(text, chr(10) || chr(10) order by block_no) as text from placed group by doc_id, section_no),
+numbered as (select *, row_number() over (partition by doc_id order by section_no) as n, {_TOKENS.format('text')} as tokens from sections)"""
+_PART = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_AT = "case when strpos(reverse(w), reverse({0})) > 0 and length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 >= greatest(1, length(w) // 2) then length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 + {1} end"
+_CUTS = ", ".join(_AT.format("chr(10) || " * (m.count("\n")) + f"'{m.strip(chr(10))}'" if m.strip("\n") else " || ".join(["chr(10)"] * m.count("\n")), k) for m, k in md.CUTS)
+_CHUNKS = f"""{_SECTIONS},
+large as (select p.doc_id, n.n, p.block_no, p.text from placed p join numbered n on p.doc_id = n.doc_id and p.section_no = n.section_no where n.tokens > 1148),
+forced as (
+  select doc_id, n, block_no, 0 as k, null::varchar as part, text as rest from large
+  union all
+  select doc_id, n, block_no, k + 1, case when cut is null then rest else {_PART.format('substr(rest, 1, cut)')} end, case when cut is null then '' else regexp_replace(substr(rest, cut + 1), '^\\s+', '') end
+  from (select *, case when {_TOKENS.format('rest')} <= 1400 then null when length(rest) > 5600 then coalesce({_CUTS}, 5600) else length(rest) end as cut from (select *, substr(rest, 1, 5600) as w from forced where rest <> ''))),
+units as (select doc_id, n, row_number() over (partition by doc_id, n order by block_no, k) as u, part from forced where part <> ''),
+runs as (
+  select doc_id, n, u, 1 as part_no, part as text from units where u = 1
+  union all
+  select doc_id, n, u, case when fits then part_no else part_no + 1 end, case when fits then text || chr(10) || chr(10) || part else part end
+  from (select r.doc_id, r.n, r.part_no, r.text, x.u, x.part, {_TOKENS.format("(r.text || chr(10) || chr(10) || x.part)")} <= 1400 as fits from runs r join units x on x.doc_id = r.doc_id and x.n = r.n and x.u = r.u + 1)),
+parts as (select doc_id, n, part_no, arg_max(text, u) as text from runs group by doc_id, n, part_no
+  union all select doc_id, n, 1, text from numbered where tokens <= 1148)"""
+
+
+@query(f"with recursive {_BLOCKS} select doc_id, cast(block_no as bigint) as block_no, kind, nullif(level, 0) as level, first_line, last_line, cast(section_no as bigint) as section_no, sha1(text) as digest from placed")
 def md_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = md.blocks(table(spark, d, "documents"))
-    return rows.select("doc_id", "block_no", "kind", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"), "section_no", F.sha1("text").alias("digest"))
+    return md.blocks(table(spark, d, "documents")).select("doc_id", "block_no", "kind", "level", "first_line", "last_line", "section_no", F.sha1("text").alias("digest"))
 
 
-@query(f"""with {_LINES} select doc_id, cast(section_no as bigint) as section_no, count(*) as n_blocks, sha1(string_agg(text, chr(10) || chr(10) order by block_no)) as digest
-from placed group by doc_id, section_no""")
+@query(f"""with recursive {_SECTIONS} select doc_id, cast(section_no as bigint) as section_no, n_blocks, sha1(text) as digest,
+  case when section_no = 0 and n = max(n) over (partition by doc_id) then 'preamble' else 'heading_section' end as kind from numbered""")
 def section_group(spark: SparkSession, d: str) -> DataFrame:
-    return md.sections(table(spark, d, "documents")).select("doc_id", "section_no", "n_blocks", F.sha1("text").alias("digest"))
+    return md.sections(table(spark, d, "documents")).select("doc_id", "section_no", "n_blocks", F.sha1("text").alias("digest"), "kind")
 
 
-@query()
+@query(f"""with recursive {_CHUNKS} select doc_id, 'chunk#' || lpad(cast(row_number() over (partition by doc_id order by n, part_no) as varchar), 6, '0') as chunk_id, cast(n as bigint) as section_no,
+  cast(part_no as bigint) as part, count(*) over (partition by doc_id, n) as parts, {_TOKENS.format('text')} as token_estimate, sha1(text) as digest from parts""")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return md.chunks(table(spark, d, "documents"))
+    rows = md.chunks(table(spark, d, "documents"))
+    return rows.select("doc_id", "chunk_id", F.col("section_no").cast("long").alias("section_no"), F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"), "token_estimate", F.sha1("text").alias("digest"))
+
+
+@query(f"""select version_pk, chunk_id || case when tokens > 1400 then '#part' || lpad(cast(i as varchar), 2, '0') else '' end as chunk_id, case when tokens > 1400 then chunk_id end as split_from,
+  cast(case when tokens > 1400 then i end as bigint) as split_index, sha1(part) as digest from (
+  select version_pk, chunk_id, tokens, row_number() over (partition by version_pk, chunk_id order by k) as i, part from (
+    select version_pk, chunk_id, tokens, k, case when tokens > 1400 then regexp_replace(substr(text, (k - 1) * 2800 + 1, 2800), '^\\s+|\\s+$', '', 'g') else text end as part
+    from (select *, unnest(range(1, case when tokens > 1400 then cast(ceil(length(text) / 2800.0) as bigint) + 1 else 2 end)) as k
+      from (select version_pk, chunk_id, text, {_TOKENS.format('text')} as tokens from (select distinct version_pk, chunk_id, text from chunks))))
+  where tokens <= 1400 or part <> '')""")
+def oversize_expand(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").select("version_pk", "chunk_id", "text").dropDuplicates()
+    return md.expand_oversized(rows).select("version_pk", "chunk_id", "split_from", F.col("split_index").cast("long").alias("split_index"), F.sha1("text").alias("digest"))
 
 
 _PAGES = """pages as (select version_pk, page, text, row_number() over (partition by version_pk order by page, chunk_id) as rn from (

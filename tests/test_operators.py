@@ -24,11 +24,15 @@ def one(spark, value, f):
 
 
 def test_keys_are_escaped(spark):
-    df = spark.createDataFrame([("tenant#a", "bucket/with#hash", "docs/guide#final%.pdf", "v1#latest")], "t string, b string, k string, v string")
+    """Every byte but unreserved characters is written in hexadecimal, so the mark between the parts occurs in none of them."""
+    from urllib.parse import quote
+
+    parts = ["north & co", "inbox#7/a", "Ablage/Straße 5%+x.docx", "R~2#9"]
+    df = spark.createDataFrame([tuple(parts)], "t string, b string, k string, v string")
     r = df.select(ident.version_pk(*(F.col(c) for c in "tbkv")).alias("pk")).withColumn("uri", ident.uri_of_version_pk(F.col("pk"))).first()
-    assert r.pk == "tenant%23a#bucket%2Fwith%23hash#docs%2Fguide%23final%25.pdf#v1%23latest"
-    assert r.uri == "s3://bucket/with#hash/docs/guide%23final%25.pdf?versionId=v1%23latest"
-    assert one(spark, "a ~*-_.ü", ident.escape_part) == "a%20~%2A-_.%C3%BC"
+    assert r.pk == "#".join(quote(p, safe="") for p in parts)
+    assert r.uri == f"s3://{parts[1]}/{quote(parts[2])}?versionId={quote(parts[3], safe='')}"
+    assert one(spark, "a ~*-_.ü", ident.escape_part) == quote("a ~*-_.ü", safe="")
 
 
 @pytest.mark.parametrize(("low", "high"), [("f", "10"), ("9", "A"), (None, "0"), (" ", "1"), ("0" * 40 + "2", "3"), ("F" * 32, "1" + "0" * 32)])
@@ -44,8 +48,8 @@ def test_equal_sequencers(spark):
     assert one(spark, "", ident.sequencer_norm) is None
 
 
-def _record(name="ObjectCreated:Put", key="docs%2Fguide.md", **thing):
-    return {"eventSource": "aws:s3", "eventName": name, "s3": {"bucket": {"name": "b"}, "object": {"key": key, "versionId": "v123", "sequencer": "001", **thing}}}
+def _record(name="ObjectCreated:Put", key="plans%2Froof.md", **thing):
+    return {"eventSource": "aws:s3", "eventName": name, "s3": {"bucket": {"name": "b"}, "object": {"key": key, "versionId": "r8", "sequencer": "001", **thing}}}
 
 
 def _wrap(envelope, times):
@@ -62,7 +66,7 @@ def test_envelopes(spark):
     errors = {r.envelope_id: r.error for r in records.where("error is not null").collect()}
     assert errors == {4: "nested too deep", 5: "no records", 8: "no records", 9: "no records"}
     got = {(r.envelope_id, r.operation, r.object_key, r.trace_id) for r in ev.messages(records).collect()}
-    assert got == {(1, "UPSERT", "docs/guide.md", "s3://b/docs/guide.md?versionId=v123"), (2, "DELETE", "docs/guide.md", "s3://b/docs/guide.md?versionId=v123"), (7, "UPSERT", "a b%zz.md", "s3://b/a%20b%25zz.md?versionId=v123")}
+    assert got == {(1, "UPSERT", "plans/roof.md", "s3://b/plans/roof.md?versionId=r8"), (2, "DELETE", "plans/roof.md", "s3://b/plans/roof.md?versionId=r8"), (7, "UPSERT", "a b%zz.md", "s3://b/a%20b%25zz.md?versionId=r8")}
 
 
 def test_events_are_judged_like_a_loop(spark):
@@ -95,23 +99,51 @@ MD = "# A\nintro\nmore\n\n### B\n- x\n- y\nlazy\n\n```py\n# no heading\n\ncode\n
 
 
 def test_blocks_and_paths(spark):
-    docs = spark.createDataFrame([(1, MD), (2, ""), (3, None), (4, "plain"), (5, "```\nopen fence\n# x")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, MD, 7), (2, "", 7), (3, None, 7), (4, "plain", 7), (5, "```\nopen fence\n# x", 7)], "doc_id long, text string, kind int")
     got = [(r.doc_id, r.kind, r.text) for r in md.blocks(docs).orderBy("doc_id", "block_no").collect()]
     assert [k for d, k, _ in got if d == 1] == ["heading", "paragraph", "heading", "list", "code_fence", "heading", "blockquote", "table"]
     assert got[3][2] == "- x\n- y\nlazy" and got[4][2] == "```py\n# no heading\n\ncode\n```"
     assert [k for d, k, _ in got if d == 5] == ["code_fence"] and [k for d, k, _ in got if d == 4] == ["paragraph"]
-    paths = {(r.doc_id, r.section_no): list(r.header_path) for r in md.sections(docs).collect()}
-    assert paths[1, 2] == ["A", "B"] and paths[1, 3] == ["A", "B", "C"] and paths[4, 0] == []
+    paths = {(r.doc_id, r.section_no): (list(r.header_path), r.kind) for r in md.sections(docs).collect()}
+    assert paths[1, 2] == (["A", "B"], "heading_section") and paths[1, 3][0] == ["A", "B", "C"] and paths[4, 0] == ([], "preamble")
+
+
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("Title\n=====\nbody", ["heading1", "paragraph"]), ("Two\nlines\n---", ["heading2"]), ("a\n\n---\n\nb", ["paragraph", "paragraph"]), ("* * *\nx", ["paragraph"]),
+    ("a\n\n    code\n\n    more\n\nx", ["paragraph", "code_block", "paragraph"]), ("x\n    lazy", ["paragraph"]), ("<div>\n# no\n</div>\n\n# yes", ["html_block", "heading1"]), ("x\n<b>y</b>", ["paragraph"]),
+    ("- a\n\n- b\n\n  c\n\nd", ["list", "paragraph"]), ("- a\n\n1. b", ["list", "list"]), ("- a\n\n* b", ["list", "list"]), ("a | b\n--- | ---\n1 | 2\n\n| x |", ["table", "paragraph"]),
+    ("~~~\n```\n~~~\n```\nx", ["code_fence", "code_fence"]), ("```a`b\nx", ["paragraph"]), ("> a\nb\n\n> c", ["blockquote", "blockquote"]), ("#no\n\n#### Yes ##", ["paragraph", "heading4"]), ("\tcode", ["paragraph"]),
+])
+def test_block_kinds(text, kinds):
+    assert [b["kind"] + str(b["level"] or "") for b in md.read_blocks(text)] == kinds
+
+
+def test_heading_paths_drop_their_marks():
+    path = [b["header_path"] for b in md.read_blocks("# One #\n\nTwo\n---\n\n### \n\nx") if b["kind"] != "paragraph"]
+    assert path == [["One"], ["One", "Two"], ["One", "Two"]]
 
 
 def test_chunks_stay_within_the_limit_and_keep_all_text(spark):
     rng = random.Random(2)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))
-    docs = [(i, "\n\n".join([f"## H{i}"] + [words(rng.randint(1, 400)) for _ in range(6)])) for i in range(6)] + [(99, "# Intro\n" + "word " * 2200), (100, "x" * 9000), (101, None)]
-    rows = md.chunks(spark.createDataFrame(docs, "doc_id long, text string"), soft=100, hard=120).orderBy("doc_id", "chunk_id").collect()
+    docs = [(i, "\n\n".join([f"## H{i}"] + [words(rng.randint(1, 400)) for _ in range(6)])) for i in range(6)] + [(99, "Plan\n" + "brick " * 1900), (100, "x" * 9000), (101, None)]
+    rows = md.chunks(spark.createDataFrame(docs, "doc_id long, text string"), soft=100, hard=120)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    rows = rows.orderBy("doc_id", "chunk_id").collect()
     assert all(r.token_estimate <= 120 for r in rows)
     for i, text in docs[:-1]:
-        assert "".join("".join(r.text.split()) for r in rows if r.doc_id == i) == "".join(text.split())
+        mine = [r for r in rows if r.doc_id == i]
+        assert "".join("".join(r.text.split()) for r in mine) == "".join(text.split())
+        assert [r.chunk_no for r in mine] == list(range(1, len(mine) + 1)) and all(1 <= r.part <= r.parts for r in mine)
+
+
+def test_oversized_chunks_expand_in_order(spark):
+    rows = spark.createDataFrame([("a", "w" * 50, 1), ("b", " ".join(str(i) for i in range(200)), 2), ("c", None, 3)], "chunk_id string, text string, n int")
+    got = md.expand_oversized(rows, 40).collect()
+    assert [(r.chunk_id, r.split_from, r.split_index) for r in got if r.n == 2][:2] == [("b#part01", "b", 1), ("b#part02", "b", 2)]
+    assert "".join("".join(r.text.split()) for r in got if r.n == 2) == "".join(str(i) for i in range(200)) and all(len(r.text) <= 80 for r in got if r.n == 2)
+    assert [(r.chunk_id, r.split_from, r.text) for r in got if r.n != 2] == [("a", None, "w" * 50), ("c", None, None)]
 
 
 def test_text_expressions(spark):
@@ -126,7 +158,7 @@ def test_text_expressions(spark):
 
 def test_page_windows(spark):
     schema = "version_pk string, chunk_id string, chunk_type string, text string, page_no int, page_span struct<first:int,last:int>, ordinal int"
-    rows = [("v", f"c{i}", "page_text_chunk", t, i if i != 3 else None, (3, 3) if i == 3 else None, i) for i, t in enumerate(["page one", "page two", " ", "page three", None], 1)]
+    rows = [("v", f"c{i}", "page_text_chunk", t, i if i != 3 else None, (3, 3) if i == 3 else None, i) for i, t in enumerate(["left leaf", "right leaf", " ", "back leaf", None], 1)]
     pages = pg.text_pages(spark.createDataFrame(rows + rows[:1], schema))
     assert [(r.first, r.last) for r in pg.short_windows(pages).orderBy("first").collect()] == [(1, 2), (2, 4)]
     assert [(r.first, r.last, r.pages) for r in pg.part_windows(pages, part=2).collect()] == [(1, 2, 2)]
@@ -198,42 +230,20 @@ def test_a_corpus(spark, sf_dir):
     assert clear_materialized(spark) is None
 
 
-def _slow_split(text, chars):
-    parts, rest = [], text.strip()
-    while len(rest) > chars:
-        window, cut = rest[:chars], chars
-        for mark in ("\n\n", "\n"):
-            end = window.rfind(mark) + len(mark)
-            if end >= len(mark) and 1 <= chars - end + 1 <= chars // 2:
-                cut = end
-                break
-        parts += [rest[:cut].strip()] if rest[:cut].strip() else []
-        rest = rest[cut:].strip()
-    return parts + ([rest] if rest else [])
-
-
-def _slow_pack(units, hard):
-    done, open_ = [], ""
-    for u in units:
-        joined = f"{open_}\n\n{u}"
-        if open_ == "":
-            open_ = u
-        elif -(-len(" ".join(joined.split())) // 4) <= hard:
-            open_ = joined
-        else:
-            done.append(open_)
-            open_ = u
-    return done + ([open_] if open_ else [])
-
-
-def test_splitting_and_packing_like_loops(spark):
+def test_forced_parts_and_packing():
     rng = random.Random(12)
-    texts = ["".join(rng.choice("ab c\n") for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["", " \n ", "x" * 300, "a\n\n" * 80]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", md.forced_split(F.col("t"), 40).alias("p")).collect()
-    assert {r.i: list(r.p) for r in rows} == {i: _slow_split(t, 40) for i, t in enumerate(texts)}
-    units = [[("w" * rng.randint(1, 90)) for _ in range(rng.randint(0, 12))] for _ in range(40)]
-    rows = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u array<string>").select("i", md.pack(F.col("u"), 30).alias("p")).collect()
-    assert {r.i: list(r.p) for r in rows} == {i: _slow_pack(u, 30) for i, u in enumerate(units)}
+    texts = ["".join(rng.choice("ab c\n#") for _ in range(rng.randint(0, 900))) for _ in range(60)] + ["", " \n ", "x" * 300, "a\n\n" * 80]
+    for text in texts:
+        parts = md.forced_parts(text, 40)
+        assert all(0 < md.tokens(p) <= 40 for p in parts)
+        assert "".join("".join(p.split()) for p in parts) == "".join(text.split())
+    assert md.forced_parts("y" * 100 + "\n## Next\n" + "z" * 100, 40) == ["y" * 100 + "\n##", "Next\n" + "z" * 100]
+    for _ in range(40):
+        units = ["w" * rng.randint(1, 90) for _ in range(rng.randint(0, 12))]
+        runs = md.packed(units, 30)
+        assert "\n\n".join(runs) == "\n\n".join(units)
+        assert all(md.tokens(r) <= 30 or "\n" not in r for r in runs)
+        assert all(md.tokens(f"{a}\n\n{b.split(chr(10))[0]}") > 30 for a, b in zip(runs, runs[1:]))
 
 
 def test_queries_in_blocks_find_the_same(spark, monkeypatch):
