@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.io import materialize
+from docloom.io import materialize, parallelism
 from docloom.llm import arrays
 
 #: A token by the offline estimate: four characters after white space is collapsed.
@@ -91,7 +91,8 @@ def file_ranges(spark: SparkSession, path: str, size: int = 1 << 22) -> DataFram
                 text = [raw[a:z].decode("utf-8", "replace") for a, z in ((0, first), (first, last), (last, len(raw)))]
                 yield pa.RecordBatch.from_pylist([{"item": item, "no": no, "before": text[0][-HALO:], "text": text[1], "after": text[2][:HALO]}])
 
-    return parts.repartition("item", "no").mapInArrow(read, _RANGE_ROW)
+    # a number of tasks of its own: rows of ranges are too small for the planner to spread them
+    return parts.repartition(max(parallelism(spark), -(-parts.count() // 64)), "item", "no").mapInArrow(read, _RANGE_ROW)
 
 
 def _kept(before: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +196,8 @@ def piece_bounds(ranges: DataFrame, places: DataFrame, limit: int, overlap: int)
     room = (limit - overlap) * CHARS_A_TOKEN
     step = max(64, room * 4 // 5)
     slack = room - step - 1
-    placed = ranges.join(places.select("item", "no", "size_before", "kept_before"), ["item", "no"])
+    # never a broadcast of the ranges: their texts look small to the planner, for they are read behind it
+    placed = ranges.hint("merge").join(places.select("item", "no", "size_before", "kept_before"), ["item", "no"])
     cuts = placed.select("item", "before", "text", "size_before", "kept_before").mapInArrow(_best_cuts(step, slack), _CUTS)
     best = cuts.groupBy("item", "cut").agg(F.max(F.struct("level", "kept", "at")).alias("b")).select("item", "cut", F.col("b.at").alias("at"))
     whole = places.groupBy("item").agg(F.sum("size").alias("size"))
@@ -235,9 +237,9 @@ def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_
     # a range is met once, with all the pieces that it gives a part to: as many as steps fit in it
     part = F.struct("piece", F.greatest(F.lit(0), F.col("first") - F.col("size_before")).alias("lo"), (F.least("last", "size_after") - F.col("size_before")).alias("hi"))
     asked = met.groupBy("item", "no").agg(F.collect_list(part).alias("parts"))
-    texts = ranges.select("item", "no", "text").join(asked, ["item", "no"]).mapInArrow(_parts, "item string, piece long, no long, part string")
+    texts = ranges.select("item", "no", "text").hint("merge").join(asked, ["item", "no"]).mapInArrow(_parts, "item string, piece long, no long, part string")
     whole = texts.groupBy("item", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), "").alias("text"))
-    whole = whole.join(spans, ["item", "piece"])
+    whole = whole.hint("merge").join(spans, ["item", "piece"])
     # the overlap begins at a word
     inside = (F.col("at") - F.col("first")).cast("int")
     lead = F.substr(F.col("text"), F.lit(1), inside)
