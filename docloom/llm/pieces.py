@@ -9,12 +9,13 @@ are read anew for each of these steps (files by seeking), not kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.io import materialize, parallelism
 from docloom.llm import arrays
@@ -68,31 +69,59 @@ def read_range(uri: str, lo: int, n: int) -> bytes:
         return f.read_at(n, lo)
 
 
+def _decoded(item: str, no: int, size: int) -> tuple[str, str, str]:
+    """Halo, text and halo of one range of a file."""
+    lo = max(0, no * size - 4 * HALO)
+    raw = read_range(item, lo, no * size - lo + size + 4 * HALO)
+    first, last = no * size - lo, no * size - lo + size
+    while first < len(raw) and first > 0 and raw[first] & 0xC0 == 0x80:
+        first += 1
+    while last < len(raw) and raw[last] & 0xC0 == 0x80:
+        last += 1
+    before, text, after = (raw[a:z].decode("utf-8", "replace") for a, z in ((0, first), (first, last), (last, len(raw))))
+    return before[-HALO:], text, after[:HALO]
+
+
+def _with_texts(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (item, no, ...) of ranges of files with before, text and after, read where the row is."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.StringType()) for c in ("before", "text", "after")]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (item, no) in enumerate(_rows(b, "item", "no")):
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, *(pa.array([x], pa.string()) for x in _decoded(item, no, size))], names=[*names, "before", "text", "after"])
+
+    return rows.mapInArrow(read, schema)
+
+
+def _file_parts(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(item, no): the ranges of all files, spread over tasks; a number of tasks of its own, for the rows are too small for the
+    planner to spread them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("item"), "length")
+    n = F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("long")
+    parts = files.select("item", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no"))
+    return parts.repartition(max(parallelism(spark), -(-parts.count() // 64)), "item", "no")
+
+
 def file_ranges(spark: SparkSession, path: str, size: int = 1 << 22) -> DataFrame:
     """Byte ranges of the UTF-8 files under path.
 
     A task opens a file, seeks, and reads one range and its halo: no file is loaded whole. A character belongs to the
     range in which its first byte lies. Malformed bytes become replacement characters.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("item"), "length")
-    n = F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("long")
-    parts = files.select("item", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("no"))
+    return _with_texts(_file_parts(spark, path, size), size).select("item", "no", "before", "text", "after")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for item, no in zip(b.column("item").to_pylist(), b.column("no").to_pylist()):
-                lo = max(0, no * size - 4 * HALO)
-                raw = read_range(item, lo, no * size - lo + size + 4 * HALO)
-                first, last = no * size - lo, no * size - lo + size
-                while first < len(raw) and first > 0 and raw[first] & 0xC0 == 0x80:
-                    first += 1
-                while last < len(raw) and raw[last] & 0xC0 == 0x80:
-                    last += 1
-                text = [raw[a:z].decode("utf-8", "replace") for a, z in ((0, first), (first, last), (last, len(raw)))]
-                yield pa.RecordBatch.from_pylist([{"item": item, "no": no, "before": text[0][-HALO:], "text": text[1], "after": text[2][:HALO]}])
 
-    # a number of tasks of its own: rows of ranges are too small for the planner to spread them
-    return parts.repartition(max(parallelism(spark), -(-parts.count() // 64)), "item", "no").mapInArrow(read, _RANGE_ROW)
+def file_pieces(spark: SparkSession, path: str, size: int = 1 << 22, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """The pieces of the UTF-8 files under path, as pieces gives them. What is known of a range goes to it before it is read
+    again, so that texts are shuffled only as parts of pieces."""
+
+    def attach(rows: DataFrame) -> DataFrame:
+        tasks = max(parallelism(spark), -(-rows.count() // 64))
+        return _with_texts(rows.repartition(tasks, "item", "no"), size)
+
+    return pieces(file_ranges(spark, path, size), limit, overlap, attach)
 
 
 def _kept(before: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,17 +216,16 @@ def stitched(ranges: DataFrame) -> DataFrame:
     return both.join(blocks, ["item", "block"]).select("item", "no", "size", "kept", (F.col("s0") + F.col("s1")).alias("size_before"), (F.col("k0") + F.col("k1")).alias("kept_before"))
 
 
-def piece_bounds(ranges: DataFrame, places: DataFrame, limit: int, overlap: int) -> DataFrame:
+def piece_bounds(attach: Callable[[DataFrame], DataFrame], places: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(item, piece, first, last, at): pieces from first to last (code points from the item's start); at is where the overlap ends.
 
-    places: the stitched measures of the ranges; limit and overlap are in estimated tokens. Cuts lie at most a slack of a
+    attach: gives rows (item, no, ...) the texts of their ranges; places: the stitched measures; limit and overlap are in estimated tokens. Cuts lie at most a slack of a
     fifth of the room below multiples of the step, and step + slack + overlap is the limit: no piece can be longer.
     """
     room = (limit - overlap) * CHARS_A_TOKEN
     step = max(64, room * 4 // 5)
     slack = room - step - 1
-    # never a broadcast of the ranges: their texts look small to the planner, for they are read behind it
-    placed = ranges.hint("merge").join(places.select("item", "no", "size_before", "kept_before"), ["item", "no"])
+    placed = attach(places.select("item", "no", "size_before", "kept_before"))
     cuts = placed.select("item", "before", "text", "size_before", "kept_before").mapInArrow(_best_cuts(step, slack), _CUTS)
     best = cuts.groupBy("item", "cut").agg(F.max(F.struct("level", "kept", "at")).alias("b")).select("item", "cut", F.col("b.at").alias("at"))
     whole = places.groupBy("item").agg(F.sum("size").alias("size"))
@@ -219,14 +247,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS, attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(item, piece_no, first, last, text): each item of (item, no, before, text, after) as pieces within the limit.
 
     Every character of an item stands in a piece, in order. A piece begins with the last words of the one before it, at
     most overlap tokens of them. White space at the ends of a piece is stripped. Empty items give one empty piece.
     """
+    # never a broadcast of the ranges: their texts look small to the planner, for they are cut behind it
+    attach = attach or (lambda rows: ranges.hint("merge").join(rows, ["item", "no"]))
     stitch = materialize(stitched(measured(ranges)), "piece-places")
-    spans = materialize(piece_bounds(ranges, stitch, limit, overlap), "piece-bounds")
+    spans = materialize(piece_bounds(attach, stitch, limit, overlap), "piece-bounds")
     places = stitch.select("item", "no", "size_before", (F.col("size_before") + F.col("size")).alias("size_after"))
     # a piece touches few ranges: step and range are of one order of size, so ranges are met through equal cells of RANGE
     cell = lambda c: F.floor(c / RANGE).cast("long")
@@ -237,7 +267,7 @@ def pieces(ranges: DataFrame, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_
     # a range is met once, with all the pieces that it gives a part to: as many as steps fit in it
     part = F.struct("piece", F.greatest(F.lit(0), F.col("first") - F.col("size_before")).alias("lo"), (F.least("last", "size_after") - F.col("size_before")).alias("hi"))
     asked = met.groupBy("item", "no").agg(F.collect_list(part).alias("parts"))
-    texts = ranges.select("item", "no", "text").hint("merge").join(asked, ["item", "no"]).mapInArrow(_parts, "item string, piece long, no long, part string")
+    texts = attach(asked).select("item", "no", "text", "parts").mapInArrow(_parts, "item string, piece long, no long, part string")
     whole = texts.groupBy("item", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), "").alias("text"))
     whole = whole.hint("merge").join(spans, ["item", "piece"])
     # the overlap begins at a word

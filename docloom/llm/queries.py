@@ -10,7 +10,7 @@ from docloom.llm.languages import segment_languages, version_languages, wrong_la
 from docloom.llm.leaks import leaked_items
 from docloom.llm.levels import reading_levels
 from docloom.llm.mixture import mixture
-from docloom.llm.pieces import file_ranges, oversized, pieces, split_chunks
+from docloom.llm.pieces import file_pieces, oversized, split_chunks
 from docloom.llm.scans import page_noise, paragraphs, repaired_pages
 
 
@@ -55,7 +55,7 @@ def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.concat_ws("-", F.coalesce("doc_type", F.lit("none")), F.coalesce("lang", F.lit("none")))
     texts = table(spark, sf_dir, "documents").where("text is not null").select(kind.alias("kind"), F.concat("text", F.lit("\n")).alias("value"))
     texts.repartition("kind", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("kind").text(at)
-    cut = pieces(file_ranges(spark, at, 1 << 18))
+    cut = file_pieces(spark, at, 1 << 18)
     return cut.select(F.regexp_extract("item", "kind=([^/]*)", 1).alias("kind"), "piece_no", "first", "last", "text")
 
 
