@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import document_uri, sequencer_norm
@@ -47,16 +47,42 @@ def unquote_key(key: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.regexp_replace(key, "%(?![0-9A-Fa-f]{2})", "%25")), key)
 
 
+def _operation() -> Column:
+    r = F.col("record")
+    return F.when(F.startswith(r["eventName"], F.lit("ObjectCreated")), "UPSERT").when(F.startswith(r["eventName"], F.lit("ObjectRemoved")), "DELETE")
+
+
+def _fault() -> Column:
+    """Why an object record gives no message; null if it does. Event versions from 2.1 on are read."""
+    r = F.col("record")
+    number = F.split(F.trim(r["eventVersion"]), r"\.")
+    major, minor = F.get(number, F.lit(0)).try_cast("int"), F.coalesce(F.get(number, F.lit(1)).try_cast("int"), F.lit(0))
+    return (
+        F.when(F.coalesce((major > 2) | (major == 2) & (minor >= 1), F.lit(False)) == F.lit(False), "event version")
+        .when(blank_to_null(r["s3"]["object"]["versionId"]).isNull(), "no version")
+        .when(r["s3"]["bucket"]["name"].isNull() | r["s3"]["object"]["key"].isNull(), "no object")
+    )
+
+
+def refused_records(records: DataFrame) -> DataFrame:
+    """(envelope_id, error): envelopes and object records that give no message though they should, each with the reason.
+
+    Records of other kinds (neither created nor removed, from other sources) are no faults.
+    """
+    broken = records.where("error is not null").select("envelope_id", "error")
+    return broken.unionByName(records.where(F.col("record").isNotNull() & _operation().isNotNull()).select("envelope_id", _fault().alias("error")).where("error is not null"))
+
+
 def messages(records: DataFrame) -> DataFrame:
     """Messages of object records: created means UPSERT, removed means DELETE, all else is dropped.
 
-    A version is required: records without one are left out. Blank trace ids become the document's address.
+    A version is required, and an event version that can be read; refused_records has what lacks them. Blank trace ids
+    become the document's address.
     """
-    r = F.col("record")
-    operation = F.when(F.startswith(r["eventName"], F.lit("ObjectCreated")), "UPSERT").when(F.startswith(r["eventName"], F.lit("ObjectRemoved")), "DELETE")
+    r, operation = F.col("record"), _operation()
     bucket, key, version = r["s3"]["bucket"]["name"], unquote_key(r["s3"]["object"]["key"]), blank_to_null(r["s3"]["object"]["versionId"])
     trace = F.coalesce(blank_to_null(r["responseElements"]["x-amz-request-id"]), document_uri(bucket, key, version))
-    return records.where(r.isNotNull()).select(
+    return records.where(r.isNotNull() & _fault().isNull()).select(
         "envelope_id", operation.alias("operation"), F.coalesce(blank_to_null(r["tenant_id"]), F.lit(TENANT)).alias("tenant_id"), bucket.alias("bucket"), key.alias("object_key"),
         version.alias("version_id"), sequencer_norm(r["s3"]["object"]["sequencer"]).alias("sequencer"), F.coalesce(blank_to_null(r["language"]), F.lit(LANGUAGE)).alias("language"), trace.alias("trace_id"),
     ).where("operation is not null and version_id is not null and bucket is not null and object_key is not null")
@@ -66,8 +92,8 @@ def judge_events(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The log (object, arrival, version, seq, op) with accepted and reason, each object's events in order of arrival.
 
     An event is accepted if its sequencer is above all earlier ones of its object; a delete before the object's first
-    upsert is refused and leaves no mark, so a later, older create is accepted. Every row has a sequencer; ties in
-    arrival go by sequencer. state: (object, top, seen), one row an object, what events before the log have left: the
+    upsert is refused and leaves no mark, so a later, older create is accepted. Without a sequencer an event is accepted only as
+    the first of its object. Ties in arrival go by sequencer, then version. state: (object, top, seen), one row an object, what events before the log have left: the
     top sequencer and whether there was an upsert.
     """
     order = ["arrival", "seq", "version"]
@@ -79,9 +105,43 @@ def judge_events(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
     counted = before(in_blocks(log, ["object"], order, "event-log"), ["object"], order, {"upserts": (upsert, "sum")})
     orphan = ~carried & (F.col("op") == "DELETE") & (F.coalesce("upserts", F.lit(0)) == 0)
     marked = materialize(counted.withColumn("orphan", orphan), "event-orphans")
-    topped = before(marked, ["object"], order, {"top": (F.when(~F.col("orphan"), F.col("seq")), "max")}).where(~carried)
-    reason = F.when(F.col("orphan"), "delete_without_object").when(F.col("seq") <= F.col("top"), "stale").otherwise("accepted")
-    return topped.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan", "upserts", "top", "carried", "event", BLOCK)
+    seen = F.when(~F.col("orphan"), 1)
+    topped = before(marked, ["object"], order, {"top": (F.when(~F.col("orphan"), F.col("seq")), "max"), "earlier": (seen, "sum")}).where(~carried)
+    unnumbered = F.col("seq").isNull() & F.col("earlier").isNotNull()
+    reason = F.when(F.col("orphan"), "delete_without_object").when((F.col("seq") <= F.col("top")) | unnumbered, "stale").otherwise("accepted")
+    return topped.withColumn("reason", reason).withColumn("accepted", F.col("reason") == "accepted").drop("orphan", "upserts", "top", "earlier", "carried", "event", BLOCK)
+
+
+def same_version(judged: DataFrame, state: DataFrame) -> DataFrame:
+    """judged with accepted and reason revised against what is stored (object, version): an event that names the version
+    which is already its object's current one changes nothing and is refused as same_version. Deletes are not."""
+    stored = state.select("object", F.col("version").alias("__stored"))
+    rows = judged.join(stored, "object", "left")
+    same = F.col("accepted") & (F.col("op") == "UPSERT") & F.coalesce(F.col("version") == F.col("__stored"), F.lit(False))
+    return rows.withColumn("reason", F.when(same, "same_version").otherwise(F.col("reason"))).withColumn("accepted", F.col("accepted") & ~same).drop("__stored")
+
+
+def outcome_counts(judged: DataFrame) -> DataFrame:
+    """(reason, events, objects) of judged events."""
+    return judged.groupBy("reason").agg(F.count("*").alias("events"), F.count_distinct("object").alias("objects"))
+
+
+def lookup_of(wanted: DataFrame, lookup: DataFrame) -> DataFrame:
+    """wanted (object_pk, ...) with is_deleted and latest_version_id of the preferred lookup row; null for unknown objects.
+    The keys asked for are made distinct before the lookup is read by them."""
+    keys = wanted.select("object_pk").distinct()
+    found = prefer_lookup(lookup.join(keys, "object_pk", "left_semi")).select("object_pk", "is_deleted", "latest_version_id")
+    return wanted.join(found, "object_pk", "left")
+
+
+def version_list(changes: DataFrame, limit: int = 10) -> DataFrame:
+    """(object_pk, version_id, is_marker, place): the versions of each object, live ones before delete markers, newest first,
+    limit at most. A version is a marker if it was only ever deleted."""
+    rows = changes.where("object_pk is not null and latest_version_id is not null")
+    seq = F.lpad(sequencer_norm(F.col("latest_sequencer")), 40, "0")
+    each = rows.groupBy("object_pk", F.col("latest_version_id").alias("version_id")).agg(F.bool_and(F.col("op") == "D").alias("is_marker"), F.max(seq).alias("seq"))
+    order = Window.partitionBy("object_pk").orderBy("is_marker", F.desc_nulls_last("seq"), "version_id")
+    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("seq")
 
 
 def latest_versions(judged: DataFrame) -> DataFrame:

@@ -7,14 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.identity import escape_part, object_of_version_pk
-from docloom.io import blank_to_null
+from docloom.functions.identity import escape_part, object_of_version_pk, unescape_part, uri_of_version_pk
+from docloom.operators.contracts import IMAGES
 from docloom.operators.text import drop_empty, preview
 
-# Formats and the metadata that each requires of its manifest.
-FORMATS = {"markdown": "md", "python-docx": "docx", "python-pptx": "pptx", "pdf": "pdf", "paddleocr_async": "pdf"}
-
-
 @dataclass(frozen=True)
 class Profile:
     """A place for vectors: what kinds of content it takes, and whether it is written and searched."""
@@ -41,20 +37,6 @@ def distinct_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.where("version_pk is not null").groupBy("version_pk").agg(top).select("version_pk", "t.doc_type", "t.source_format")
 
 
-def violations(manifests: DataFrame) -> DataFrame:
-    """(version_pk, violation): contracts that manifests break; the same one of a version comes out once."""
-    declared = blank_to_null(F.col("metadata")["source_format"])
-    expected = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
-    rules = {
-        "missing source_format": declared.isNull(),
-        "source_format differs": declared.isNotNull() & (declared != F.col("source_format")),
-        "unknown source_format": F.try_element_at(expected, F.col("source_format")).isNull(),
-        "doc_type differs": F.try_element_at(expected, F.col("source_format")) != F.col("doc_type"),
-    }
-    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    return manifests.select("version_pk", F.explode(broken).alias("violation")).distinct()
-
-
 def index_rows(chunks: DataFrame) -> DataFrame:
     """(version_pk, sk, ordinal, is_latest, preview, token_estimate): one narrow row a chunk for lookups."""
     rows = chunks.dropDuplicates(["version_pk", "chunk_id"])
@@ -72,6 +54,41 @@ def requests(chunks: DataFrame) -> DataFrame:
     return rows.select("version_pk", "chunk_id", F.lit("text").alias("kind"), drop_empty(F.map_concat(kept, own)).alias("metadata"))
 
 
+def embedding_requests(chunks: DataFrame, manifests: DataFrame, labels: DataFrame, assets: DataFrame | None = None, dimension: int = 1536) -> DataFrame:
+    """(version_pk, chunk_id, chunk_type, kind, dimension, text, asset_uri, mime_type, metadata): what is to be embedded: every
+    chunk as text, and assets (version_pk, asset_id, chunk_type, mime_type, asset_uri, page_no, slide_no, metadata) that are pictures.
+
+    metadata: identity of the version and its language (labels: version_pk, label), then the chunk's own, then where it
+    stands; what comes later wins. Exact duplicates count once.
+    """
+    part = F.split("version_pk", "#")
+    at = lambda i: unescape_part(F.get(part, F.lit(i)))
+    one = manifests.where("version_pk is not null").groupBy("version_pk").agg(F.max(F.struct("source_format", "doc_type")).alias("m"))
+    known = one.select("version_pk", F.col("m.doc_type").alias("__doc_type"), F.col("m.source_format").alias("__format")).join(labels.groupBy("version_pk").agg(F.max("label").alias("__label")), "version_pk", "left")
+
+    def with_metadata(rows: DataFrame, own: dict[str, Column]) -> DataFrame:
+        joined = rows.join(known, "version_pk", "left")
+        base = {"tenant_id": at(0), "bucket": at(1), "key": at(2), "version_id": at(3), "document_uri": uri_of_version_pk(F.col("version_pk")), "language": F.coalesce("__label", F.lit("zh")), "source_format": F.col("__format")}
+        place = {"doc_type": F.col("__doc_type"), **own, "is_latest": F.lit("true"), "manifest_s3_uri": F.concat(F.lit("s3://manifests/"), F.sha1("version_pk"), F.lit("/manifest.json"))}
+        first = F.map_from_arrays(F.array(*[F.lit(k) for k in base]), F.array(*[c.cast("string") for c in base.values()]))
+        last = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in place]), F.array(*[c.cast("string") for c in place.values()])), lambda _, v: v.isNotNull())
+        mine = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+        less = lambda a, b: F.map_filter(a, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(b), k), F.lit(False)))
+        upper = F.map_concat(less(mine, last), last)
+        return joined.withColumn("metadata", drop_empty(F.map_concat(less(first, upper), upper)))
+
+    rows = chunks.where("version_pk is not null and chunk_id is not null").dropDuplicates(["version_pk", "chunk_id"])
+    path = F.when(F.size("section_path") > 0, F.to_json("section_path"))
+    span = F.when(F.col("page_span").isNotNull(), F.to_json(F.array("page_span.first", "page_span.last")))
+    text = with_metadata(rows, {"page_no": F.col("page_no"), "page_span": span, "slide_no": F.col("slide_no"), "token_estimate": F.col("token_estimate"), "section_path": path})
+    none = F.lit(None).cast("string")
+    out = text.select("version_pk", "chunk_id", "chunk_type", F.lit("text").alias("kind"), F.lit(dimension).alias("dimension"), "text", none.alias("asset_uri"), none.alias("mime_type"), "metadata")
+    if assets is not None:
+        image = with_metadata(assets.where(F.col("chunk_type").isin(*IMAGES)), {"mime_type": F.col("mime_type"), "page_no": F.col("page_no"), "slide_no": F.col("slide_no")})
+        out = out.unionByName(image.select("version_pk", F.col("asset_id").alias("chunk_id"), "chunk_type", F.lit("image").alias("kind"), F.lit(dimension).alias("dimension"), none.alias("text"), "asset_uri", "mime_type", "metadata"))
+    return out
+
+
 def fan_out(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each request for each written profile that takes its kind. Profiles are configuration: a handful of rows, broadcast."""
     takes = F.array_contains(F.col("kinds"), F.col("kind"))
@@ -92,45 +109,81 @@ def superseded(versions: DataFrame, state: DataFrame) -> DataFrame:
     return joined.where(F.col("is_deleted") | ~F.col("version_id").eqNullSafe(F.col("latest_version_id"))).select("version_pk")
 
 
-def cleanup_keys(chunks: DataFrame, state: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(profile_id, key): vectors of superseded versions, in every written profile."""
-    keys = chunks.select("version_pk", "chunk_id").distinct()
+def cleanup_keys(chunks: DataFrame, state: DataFrame, profiles: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(profile_id, key): vectors of superseded versions, of chunks and of assets (version_pk, asset_id, chunk_type) that are
+    pictures, in every written profile; each once."""
+    keys = chunks.select("version_pk", "chunk_id")
+    if assets is not None:
+        keys = keys.unionByName(assets.where(F.col("chunk_type").isin(*IMAGES)).select("version_pk", F.col("asset_id").alias("chunk_id")))
+    keys = keys.distinct()
     old = keys.join(superseded(keys.select("version_pk").distinct(), state), "version_pk", "left_semi")
     rows = old.join(F.broadcast(profiles.where("writes").select("profile_id")))
     return rows.select("profile_id", vector_key(F.col("profile_id"), F.col("version_pk"), F.col("chunk_id")).alias("key"))
 
 
-def backfill_reasons(lookup: DataFrame, state: DataFrame, manifests: DataFrame) -> DataFrame:
+def backfill_reasons(lookup: DataFrame, state: DataFrame, manifests: DataFrame, projection: DataFrame | None = None, profile: str | None = None, force: bool = False) -> DataFrame:
     """(object_pk, reason): why each looked-up object is to be embedded again, or not.
 
-    lookup: one row an object; its version is compared with the current state, and must have a manifest.
+    lookup: one row an object; its version is compared with the current state, and must have a manifest. projection
+    (version_pk, profile_id, query_status): versions that are indexed in the profile are already done, unless forced.
     """
     current = state.select("object_pk", F.col("latest_version_id").alias("current"), F.col("is_deleted").alias("gone"))
     rows = lookup.select("object_pk", "latest_version_id").join(current, "object_pk", "left")
     rows = rows.withColumn("version_pk", F.concat("object_pk", F.lit("#"), "latest_version_id")).join(manifests.select("version_pk", F.lit(True).alias("has")).distinct(), "version_pk", "left")
+    ready = F.lit(False)
+    if projection is not None and not force:
+        done = projection.where((F.col("profile_id") == profile) & (F.col("query_status") == "INDEXED")).select("version_pk", F.lit(True).alias("ready")).distinct()
+        rows, ready = rows.join(done, "version_pk", "left"), F.col("ready").isNotNull()
     reason = (
         F.when(F.col("gone").isNull(), "missing_state")
         .when(F.col("gone"), "deleted")
         .when(~F.col("current").eqNullSafe(F.col("latest_version_id")), "stale")
         .when(F.col("has").isNull(), "no_manifest")
+        .when(ready, "already_projected")
         .otherwise("eligible")
     )
     return rows.select("object_pk", reason.alias("reason"))
 
 
+def reason_counts(reasons: DataFrame, samples: int = 5) -> DataFrame:
+    """(reason, objects, resume_after, samples): how many objects each reason has, the last key, and the first few keys."""
+    rank = F.row_number().over(Window.partitionBy("reason").orderBy("object_pk"))
+    some = reasons.select("reason", "object_pk").withColumn("n", rank).where(F.col("n") <= samples).groupBy("reason").agg(F.sort_array(F.collect_list("object_pk")).alias("samples"))
+    counts = reasons.groupBy("reason").agg(F.count("*").alias("objects"), F.max("object_pk").alias("resume_after"))
+    return counts.join(some, "reason")
+
+
+def summary(chunks: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(version_pk, chunks, pages, chars, last_ordinal, assets): what each version's manifest holds; exact duplicates count once."""
+    rows = chunks.select("version_pk", "chunk_id", "chunk_type", F.length("text").alias("n"), "ordinal").dropDuplicates(["version_pk", "chunk_id"])
+    page = F.when(F.col("chunk_type") == "page_text_chunk", 1).otherwise(0)
+    out = rows.groupBy("version_pk").agg(F.count("*").alias("chunks"), F.sum(page).alias("pages"), F.sum("n").alias("chars"), F.max("ordinal").alias("last_ordinal"))
+    if assets is None:
+        return out.withColumn("assets", F.lit(0).cast("long"))
+    n = assets.groupBy("version_pk").agg(F.count_distinct("asset_id").alias("assets"))
+    return out.join(n, "version_pk", "left").withColumn("assets", F.coalesce("assets", F.lit(0).cast("long")))
+
+
 def page_of(rows: DataFrame, key: str, after: str | None, n: int) -> DataFrame:
-    """The next n rows by key after a cursor: a top-k, not a sort of everything."""
+    """The next n rows by key (and the other columns, in their order) after a cursor, with truncated: whether there are more.
+
+    A top-k of n + 1, not a sort of everything."""
     rest = rows if after is None else rows.where(F.col(key) > after)
-    return rest.orderBy(key).limit(n)
+    order = [key, *[c for c in rows.columns if c != key and rows.schema[c].dataType.typeName() != "map"]]
+    # n + 1 rows at most
+    place = F.row_number().over(Window.partitionBy().orderBy(*order))
+    some = rest.orderBy(*order).limit(n + 1).withColumn("__place", place)
+    return some.withColumn("truncated", F.max("__place").over(Window.partitionBy()) > n).where(F.col("__place") <= n).drop("__place")
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
     """Rows with batch_no, at most size in each batch of a group, without one task for a large group.
 
-    Places come from prefix sums over 256 hash buckets of a group; order within a bucket is by the given columns.
+    Places come from prefix sums over hash buckets of a group, a bucket for about 10 000 rows; order within a bucket is by
+    the given columns. Rows of equal order have no order among them.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(256))
-    placed = rows.withColumn("bucket", bucket)
+    buckets = max(1, -(-rows.count() // 10_000))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = placed.groupBy(group, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(group, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -34,7 +34,9 @@ CUTS = (("\n\n# ", 3), ("\n# ", 2), ("\n## ", 3), ("\n### ", 4), ("\n#### ", 5),
 
 
 def normal(text: str) -> str:
-    return _MANY.sub("\n\n", text.replace("\r\n", "\n").replace("\r", "\n")).strip()
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return (_MANY.sub("\n\n", text) if "\n\n\n" in text else text).strip()
 
 
 def tokens(text: str) -> int:
@@ -182,9 +184,10 @@ def read_chunks(text: str, soft: int, hard: int) -> list[dict]:
     """Sections within soft tokens whole, others packed block by block; blocks over the limit are cut first."""
     out: list[dict] = []
     for n, s in enumerate(read_sections(text), 1):
-        parts = [s["text"]] if tokens(s["text"]) <= soft else packed([u for b in s["blocks"] for u in (forced_parts(b, hard) if tokens(b) > hard else [b])], hard)
+        size = tokens(s["text"])
+        parts = [s["text"]] if size <= soft else packed([u for b in s["blocks"] for u in (forced_parts(b, hard) if tokens(b) > hard else [b])], hard)
         for k, part in enumerate(parts, 1):
-            out.append({"chunk_no": len(out) + 1, "section_no": n, "section_kind": s["kind"], "block_count": s["n_blocks"], "part": k, "parts": len(parts), "header_path": s["header_path"], "token_estimate": tokens(part), "text": part})
+            out.append({"chunk_no": len(out) + 1, "section_no": n, "section_kind": s["kind"], "block_count": s["n_blocks"], "part": k, "parts": len(parts), "header_path": s["header_path"], "token_estimate": size if size <= soft else tokens(part), "text": part})
     return out
 
 

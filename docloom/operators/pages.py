@@ -19,12 +19,12 @@ def text_pages(chunks: DataFrame) -> DataFrame:
 
 
 def short_windows(pages: DataFrame, safe: int = SAFE, short: int = SHORT) -> DataFrame:
-    """(version_pk, first, last, text): neighbours that together are within the limit, one of them short."""
+    """(version_pk, rn, first, last, text): neighbours that together are within the limit, one of them short."""
     after = pages.select("version_pk", (F.col("rn") - 1).alias("rn"), F.col("page").alias("next_page"), F.col("text").alias("next_text"))
     rows = pages.join(after, ["version_pk", "rn"])
     text = F.concat("text", F.lit("\n\n"), "next_text")
     one_short = (estimate_tokens(F.col("text")) < short) | (estimate_tokens(F.col("next_text")) < short)
-    return rows.where(one_short & (estimate_tokens(text) <= safe)).select("version_pk", F.col("page").alias("first"), F.col("next_page").alias("last"), text.alias("text"))
+    return rows.where(one_short & (estimate_tokens(text) <= safe)).select("version_pk", "rn", F.col("page").alias("first"), F.col("next_page").alias("last"), text.alias("text"))
 
 
 def part_windows(pages: DataFrame, safe: int = SAFE, part: int = PART) -> DataFrame:

@@ -16,7 +16,8 @@ def strip(col: Column) -> Column:
 
 
 def normalize_text(col: Column) -> Column:
-    """Line ends as LF, at most one empty line together, no white space around."""
+    """Line ends as LF, inline style attributes taken out, at most one empty line together, no white space around."""
+    col = F.regexp_replace(col, r"""(?i)\s+style=("[^"]*"|'[^']*')""", "")
     lines = F.regexp_replace(F.regexp_replace(col, "\r\n?", "\n"), "\n{3,}", "\n\n")
     return strip(lines)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import identity as ident
@@ -73,7 +73,7 @@ def sequencer_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lookup_changes").select("feed_pos", ident.sequencer_norm(F.col("latest_sequencer")).alias("sequencer"))
 
 
-_NORM = "regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_NORM = "regexp_replace(regexp_replace(replace(replace(regexp_replace(text, '\\s+style=(\"[^\"]*\"|''[^'']*'')', '', 'gi'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
 @query(f"select doc_id, sha1(n) as digest, length(n) as chars from (select doc_id, {_NORM} as n from documents)")
@@ -121,16 +121,14 @@ def link_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select doc_id, i as window_no, w as text from (
+select doc_id, row_number() over (partition by doc_id order by i) as window_no, w as text from (
   select doc_id, i, regexp_replace(substr(text, (i - 1) * 2800 + 1, 2800), '^\\s+|\\s+$', '', 'g') as w
   from (select doc_id, text, unnest(range(1, greatest(1, cast(ceil(length(text) / 2800.0) as bigint)) + 1)) as i from documents where text is not null))
 where w <> ''
 """)
 def forced_windows(spark: SparkSession, d: str) -> DataFrame:
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 2800))
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("window_no"))
-    part = tx.strip(F.substr(F.col("text"), ((F.col("window_no") - 1) * 2800 + 1).cast("int"), F.lit(2800)))
-    return rows.select("doc_id", "window_no", part.alias("text")).where("text <> ''")
+    windows = tx.forced_windows(F.col("text"), 2800)
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(windows).alias("at", "text")).select("doc_id", (F.col("at") + 1).cast("long").alias("window_no"), "text")
 
 
 @query("""
@@ -144,13 +142,16 @@ def host_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select version_pk, chunk_id, k as name, v as value from (
-  select distinct version_pk, chunk_id, unnest(map_keys(metadata)) as k, unnest(map_values(metadata)) as v from chunks)
+select version_pk, chunk_id, k as name, case when regexp_matches(lower(k), 'api_key|authorization|credential|password|private_key|secret|token') then '[redacted]' else substr(v, 1, 2000) end as value from (
+  select version_pk, chunk_id, unnest(map_keys(m)) as k, unnest(map_values(m)) as v from (
+    select distinct version_pk, chunk_id, map_concat(coalesce(metadata, map()), map {'Reader_Token': chunk_id, 'note': repeat(chunk_id, 200), 'left': ' '}) as m from chunks))
 where trim(coalesce(v, '')) <> ''
 """)
 def metadata_normalized(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select("version_pk", "chunk_id", F.explode(tx.redact(tx.drop_empty(F.col("metadata")))).alias("name", "value"))
-    return rows.distinct()
+    """Metadata of chunks, to which a secret, a long and a blank value are added."""
+    more = F.create_map(F.lit("Reader_Token"), F.col("chunk_id"), F.lit("note"), F.repeat("chunk_id", F.lit(200)), F.lit("left"), F.lit(" "))
+    mine = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), more)
+    return table(spark, d, "chunks").select("version_pk", "chunk_id", F.explode(tx.redact(tx.drop_empty(mine))).alias("name", "value")).distinct()
 
 
 # ------------------------------------------------------------ events and versions
@@ -215,7 +216,7 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_JUDGED} select reason, count(*) as events, count(distinct object) as objects from judged group by reason")
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ev.judge_events(_log(spark, d)).groupBy("reason").agg(F.count("*").alias("events"), F.count_distinct("object").alias("objects"))
+    return ev.outcome_counts(ev.judge_events(_log(spark, d)))
 
 
 @query(f"with {_JUDGED} select object, version, seq, op, reason from judged")
@@ -243,10 +244,9 @@ def lookup_dedup(spark: SparkSession, d: str) -> DataFrame:
     return ev.prefer_lookup(table(spark, d, "object_lookup")).select("object_pk", "pk", "latest_version_id")
 
 
-@query("select object_pk, pk from object_lookup where object_pk > 'tn-h' order by object_pk, pk limit 500")
+@query("""select object_pk, pk, (select count(*) from object_lookup where object_pk > 'tn-h') > 500 as truncated from object_lookup where object_pk > 'tn-h' order by object_pk, pk limit 500""")
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "object_lookup").select("object_pk", "pk").where(F.col("object_pk") > "tn-h")
-    return rows.orderBy("object_pk", "pk").limit(500)
+    return mf.page_of(table(spark, d, "object_lookup").select("object_pk", "pk"), "object_pk", "tn-h", 500)
 
 
 @query("""
@@ -257,8 +257,7 @@ left join (""" + _PREFERRED + ") l on j.object_pk = l.object_pk")
 def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "extract_jobs").where("version_pk is not null").groupBy("version_pk").agg(F.count("*").alias("deliveries"))
     wanted = wanted.withColumn("object_pk", ident.object_of_version_pk(F.col("version_pk")))
-    found = ev.prefer_lookup(table(spark, d, "object_lookup")).select("object_pk", "is_deleted", "latest_version_id")
-    return wanted.join(found, "object_pk", "left").drop("object_pk")
+    return ev.lookup_of(wanted, table(spark, d, "object_lookup")).drop("object_pk")
 
 
 @query("""
@@ -271,11 +270,7 @@ where place <= 10
 """)
 def version_list(spark: SparkSession, d: str) -> DataFrame:
     """The versions of each object, live ones before delete markers, newest first, ten at most."""
-    rows = table(spark, d, "lookup_changes").where("object_pk is not null and latest_version_id is not null")
-    seq = F.lpad(ident.sequencer_norm(F.col("latest_sequencer")), 40, "0")
-    each = rows.groupBy("object_pk", F.col("latest_version_id").alias("version_id")).agg(F.bool_and(F.col("op") == "D").alias("is_marker"), F.max(seq).alias("seq"))
-    order = Window.partitionBy("object_pk").orderBy("is_marker", F.desc_nulls_last("seq"), "version_id")
-    return each.withColumn("place", F.row_number().over(order)).where("place <= 10").drop("seq")
+    return ev.version_list(table(spark, d, "lookup_changes"), 10)
 
 
 # ------------------------------------------------------------ manifests, chunks, requests
@@ -290,27 +285,12 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
     return mf.index_rows(table(spark, d, "chunks"))
 
 
-@query("""
-with expected(f, t) as (values ('markdown', 'md'), ('python-docx', 'docx'), ('python-pptx', 'pptx'), ('pdf', 'pdf'), ('paddleocr_async', 'pdf')),
-m as (select version_pk, doc_type, source_format, nullif(trim(metadata['source_format']), '') as declared, t from manifests left join expected on f = source_format)
-select distinct version_pk, violation from (
-  select version_pk, 'missing source_format' as violation from m where declared is null
-  union all select version_pk, 'source_format differs' from m where declared <> source_format
-  union all select version_pk, 'unknown source_format' from m where t is null
-  union all select version_pk, 'doc_type differs' from m where t <> doc_type)
-""")
-def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
-    return mf.violations(table(spark, d, "manifests"))
-
-
 @query("""
 select version_pk, count(*) as chunks, cast(sum((chunk_type = 'page_text_chunk')::int) as bigint) as pages, cast(sum(length(text)) as bigint) as chars, max(ordinal) as last_ordinal
 from (select distinct version_pk, chunk_id, chunk_type, text, ordinal from chunks) group by version_pk
 """)
 def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").select("version_pk", "chunk_id", "chunk_type", F.length("text").alias("n"), "ordinal").dropDuplicates(["version_pk", "chunk_id"])
-    page = F.when(F.col("chunk_type") == "page_text_chunk", 1).otherwise(0)
-    return rows.groupBy("version_pk").agg(F.count("*").alias("chunks"), F.sum(page).alias("pages"), F.sum("n").alias("chars"), F.max("ordinal").alias("last_ordinal"))
+    return mf.summary(table(spark, d, "chunks")).drop("assets")
 
 
 @query(f"""
@@ -377,9 +357,9 @@ def backfill_reasons(spark: SparkSession, d: str) -> DataFrame:
     return mf.backfill_reasons(ev.prefer_lookup(table(spark, d, "object_lookup")), _state(spark, d), table(spark, d, "manifests"))
 
 
-@query(f"select reason, count(*) as objects, max(object_pk) as resume_after from {_REASONS} group by reason")
+@query(f"select reason, count(*) as objects, max(object_pk) as resume_after, array_to_string(list_slice(list_sort(list(object_pk)), 1, 5), '|') as samples from {_REASONS} group by reason")
 def backfill_counts(spark: SparkSession, d: str) -> DataFrame:
-    return backfill_reasons(spark, d).groupBy("reason").agg(F.count("*").alias("objects"), F.max("object_pk").alias("resume_after"))
+    return mf.reason_counts(backfill_reasons(spark, d)).withColumn("samples", F.array_join("samples", "|"))
 
 
 @query(f"""
@@ -424,8 +404,13 @@ def lookup_generations(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ Markdown and pages
 
-_FEATURES = f"""
-texts as (select doc_id, string_split({_NORM}, chr(10)) as l from documents where text is not null and {_NORM} <> ''),
+_PLAIN = "regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def markdown_sql(source: str, soft: int = 1148, hard: int = 1400) -> tuple[str, str, str]:
+    """Recursive common tables that read the Markdown of source (doc_id, text): up to blocks, up to sections, up to chunks."""
+    features = f"""
+texts as (select doc_id, string_split({_PLAIN}, chr(10)) as l from ({source}) where text is not null and {_PLAIN} <> ''),
 lines as (select doc_id, i, l[i] as line, l[i + 1] as after from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from texts)),
 marks as (select doc_id, i, trim(line) = '' as blank, line[1] = chr(9) or regexp_matches(line, '^ {{4}}') as deep, line[1] = chr(9) or regexp_matches(line, '^  ') as inner_,
   regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) as f, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})(.*)$', 2) as info, regexp_extract(line, '^ {{0,3}}((`+)|(~+))\\s*$', 1) as bare,
@@ -437,15 +422,15 @@ marks as (select doc_id, i, trim(line) = '' as blank, line[1] = chr(9) or regexp
 features as (select doc_id, i, deep, inner_, f, level, under, right(item, 1) as mark, case when blank then 'blank' when f <> '' and not (f[1] = '`' and contains(info, '`')) then 'fence' else '' end as pre,
   bare, head, rule, item <> '' as listed, quote, tabled, html from marks)
 """
-# one step of the scanner: what the line is, given the block that the line before belongs to (o), the list or code that may go on
-# behind empty lines (g), its mark, and the open fence (fence)
-_STEP = """case when fence <> '' then 'fenced' when pre = 'blank' then 'blank' when pre = 'fence' then 'fence' when o = 'html_block' then 'same' when coalesce(nullif(o, ''), g) = 'list' and inner_ then 'going'
+    # one step of the scanner: what the line is, given the block that the line before belongs to (o), the list or code that may go on
+    # behind empty lines (g), its mark, and the open fence (fence)
+    step = """case when fence <> '' then 'fenced' when pre = 'blank' then 'blank' when pre = 'fence' then 'fence' when o = 'html_block' then 'same' when coalesce(nullif(o, ''), g) = 'list' and inner_ then 'going'
   when head then 'heading' when o = 'paragraph' and under <> '' then 'under' when rule then 'rule' when listed then case when coalesce(nullif(o, ''), g) = 'list' and m = mark then 'going' else 'list' end
   when quote then case when o = 'blockquote' then 'same' else 'blockquote' end
   when deep then case when o in ('paragraph', 'list', 'blockquote', 'table') then 'same' when coalesce(nullif(o, ''), g) = 'code_block' then 'going' else 'code_block' end
   when tabled and o not in ('list', 'blockquote', 'table') then 'table' when html and o not in ('paragraph', 'table') then 'html_block'
   when o in ('paragraph', 'list', 'blockquote', 'table', 'html_block') then 'same' else 'paragraph' end"""
-_SCAN = f"""
+    scan = f"""
 state as (
   select doc_id, 0::bigint as i, '' as step, '' as kind, '' as o, '' as g, '' as m, '' as fence, 0::bigint as block_no, 0 as level from texts
   union all
@@ -457,34 +442,38 @@ state as (
     case when step = 'fence' then f when step = 'fenced' and bare <> '' and bare[1] = fence[1] and length(bare) >= length(fence) then '' else fence end,
     case when step in ('fence', 'heading', 'list', 'blockquote', 'code_block', 'table', 'html_block', 'paragraph') then block_no + 1 else block_no end,
     case when step = 'heading' then level when step = 'under' then case when under[1] = '=' then 1 else 2 end else 0 end
-  from (select f.*, s.o, s.g, s.m, s.fence, s.block_no, {_STEP} as step from state s join features f on f.doc_id = s.doc_id and f.i = s.i + 1)
+  from (select f.*, s.o, s.g, s.m, s.fence, s.block_no, {step} as step from state s join features f on f.doc_id = s.doc_id and f.i = s.i + 1)
 )"""
-_BLOCKS = f"""{_FEATURES}, {_SCAN},
+    blocks = f"""{features}, {scan},
 spans as (select doc_id, block_no, case when max(level) > 0 then 'heading' else min_by(kind, i) end as kind, max(level) as level, min(i) as first_line, max(i) as last_line,
   bool_or(step = 'under') as underlined from state where kind <> '' group by doc_id, block_no),
 placed as (select s.*, sum((kind = 'heading')::int) over (partition by s.doc_id order by block_no) as section_no,
   regexp_replace(regexp_replace(array_to_string(l[first_line:last_line], chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as text from spans s join texts t on s.doc_id = t.doc_id)"""
-_SECTIONS = f"""{_BLOCKS},
+    sections = f"""{blocks},
 sections as (select doc_id, section_no, count(*) as n_blocks, string_agg(text, chr(10) || chr(10) order by block_no) as text from placed group by doc_id, section_no),
 numbered as (select *, row_number() over (partition by doc_id order by section_no) as n, {_TOKENS.format('text')} as tokens from sections)"""
-_PART = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
-_AT = "case when strpos(reverse(w), reverse({0})) > 0 and length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 >= greatest(1, length(w) // 2) then length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 + {1} end"
-_CUTS = ", ".join(_AT.format("chr(10) || " * (m.count("\n")) + f"'{m.strip(chr(10))}'" if m.strip("\n") else " || ".join(["chr(10)"] * m.count("\n")), k) for m, k in md.CUTS)
-_CHUNKS = f"""{_SECTIONS},
-large as (select p.doc_id, n.n, p.block_no, p.text from placed p join numbered n on p.doc_id = n.doc_id and p.section_no = n.section_no where n.tokens > 1148),
+    part = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+    at = "case when strpos(reverse(w), reverse({0})) > 0 and length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 >= greatest(1, length(w) // 2) then length(w) - strpos(reverse(w), reverse({0})) - length({0}) + 1 + {1} end"
+    cuts = ", ".join(at.format("chr(10) || " * (m.count("\n")) + f"'{m.strip(chr(10))}'" if m.strip("\n") else " || ".join(["chr(10)"] * m.count("\n")), k) for m, k in md.CUTS)
+    chunks = f"""{sections},
+large as (select p.doc_id, n.n, p.block_no, p.text from placed p join numbered n on p.doc_id = n.doc_id and p.section_no = n.section_no where n.tokens > {soft}),
 forced as (
   select doc_id, n, block_no, 0 as k, null::varchar as part, text as rest from large
   union all
-  select doc_id, n, block_no, k + 1, case when cut is null then rest else {_PART.format('substr(rest, 1, cut)')} end, case when cut is null then '' else regexp_replace(substr(rest, cut + 1), '^\\s+', '') end
-  from (select *, case when {_TOKENS.format('rest')} <= 1400 then null when length(rest) > 5600 then coalesce({_CUTS}, 5600) else length(rest) end as cut from (select *, substr(rest, 1, 5600) as w from forced where rest <> ''))),
+  select doc_id, n, block_no, k + 1, case when cut is null then rest else {part.format('substr(rest, 1, cut)')} end, case when cut is null then '' else regexp_replace(substr(rest, cut + 1), '^\\s+', '') end
+  from (select *, case when {_TOKENS.format('rest')} <= {hard} then null when length(rest) > {4 * hard} then coalesce({cuts}, {4 * hard}) else length(rest) end as cut from (select *, substr(rest, 1, {4 * hard}) as w from forced where rest <> ''))),
 units as (select doc_id, n, row_number() over (partition by doc_id, n order by block_no, k) as u, part from forced where part <> ''),
 runs as (
   select doc_id, n, u, 1 as part_no, part as text from units where u = 1
   union all
   select doc_id, n, u, case when fits then part_no else part_no + 1 end, case when fits then text || chr(10) || chr(10) || part else part end
-  from (select r.doc_id, r.n, r.part_no, r.text, x.u, x.part, {_TOKENS.format("(r.text || chr(10) || chr(10) || x.part)")} <= 1400 as fits from runs r join units x on x.doc_id = r.doc_id and x.n = r.n and x.u = r.u + 1)),
+  from (select r.doc_id, r.n, r.part_no, r.text, x.u, x.part, {_TOKENS.format("(r.text || chr(10) || chr(10) || x.part)")} <= {hard} as fits from runs r join units x on x.doc_id = r.doc_id and x.n = r.n and x.u = r.u + 1)),
 parts as (select doc_id, n, part_no, arg_max(text, u) as text from runs group by doc_id, n, part_no
-  union all select doc_id, n, 1, text from numbered where tokens <= 1148)"""
+  union all select doc_id, n, 1, text from numbered where tokens <= {soft})"""
+    return blocks, sections, chunks
+
+
+_BLOCKS, _SECTIONS, _CHUNKS = markdown_sql("select doc_id, text from documents")
 
 
 @query(f"with recursive {_BLOCKS} select doc_id, cast(block_no as bigint) as block_no, kind, nullif(level, 0) as level, first_line, last_line, cast(section_no as bigint) as section_no, sha1(text) as digest from placed")

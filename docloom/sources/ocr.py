@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.io import blank_to_null
+from docloom.operators.running import numbered
 
 _PART = "struct<layoutParsingResults: array<struct<markdown: struct<text: string>>>, markdown: struct<text: string>>"
 LINE = f"result {_PART}, data {_PART}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(version_pk, line_no, payload): lines of JSONL files; a file is a version, its lines count from 1.
+    """(version_pk, line_no, payload): lines of JSONL files; a file is a version, its lines count from 1, blank ones too.
 
-    Lines of a file are numbered by offset, so a file is read by one task; blank lines keep their number.
+    Files are split between tasks like any text; a line's number is its place among those of its file, by the block of the
+    file it lies in and its place there, so no task reads a whole file.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("version_pk"))
-    each = rows.select("version_pk", F.posexplode(F.split("value", "\r?\n")).alias("at", "payload"))
-    return each.select("version_pk", (F.col("at") + 1).alias("line_no"), "payload")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("version_pk"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("payload"))
+    return numbered(rows, ["version_pk"], ["block", "at"], "line_no", "recognised-lines").select("version_pk", "line_no", "payload")
 
 
 def line_markdown(lines: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def test_equal_sequencers(spark):
 
 
 def _record(name="ObjectCreated:Put", key="plans%2Froof.md", **thing):
-    return {"eventSource": "aws:s3", "eventName": name, "s3": {"bucket": {"name": "b"}, "object": {"key": key, "versionId": "r8", "sequencer": "001", **thing}}}
+    return {"eventVersion": "2.3", "eventSource": "aws:s3", "eventName": name, "s3": {"bucket": {"name": "b"}, "object": {"key": key, "versionId": "r8", "sequencer": "001", **thing}}}
 
 
 def _wrap(envelope, times):
@@ -65,6 +65,9 @@ def test_envelopes(spark):
     records = ev.envelope_records(df)
     errors = {r.envelope_id: r.error for r in records.where("error is not null").collect()}
     assert errors == {4: "nested too deep", 5: "no records", 8: "no records", 9: "no records"}
+    old = spark.createDataFrame([(20, json.dumps({"Records": [_record() | {"eventVersion": v}]})) for v in ("2.0", "1.9", None, "3.0", "x")], "envelope_id int, payload string")
+    assert sorted(r.error for r in ev.refused_records(ev.envelope_records(old)).collect()) == ["event version"] * 4
+    assert {(r.envelope_id, r.error) for r in ev.refused_records(records).collect()} == {(k, v) for k, v in errors.items()} | {(6, "no version")}
     got = {(r.envelope_id, r.operation, r.object_key, r.trace_id) for r in ev.messages(records).collect()}
     assert got == {(1, "UPSERT", "plans/roof.md", "s3://b/plans/roof.md?versionId=r8"), (2, "DELETE", "plans/roof.md", "s3://b/plans/roof.md?versionId=r8"), (7, "UPSERT", "a b%zz.md", "s3://b/a%20b%25zz.md?versionId=r8")}
 
@@ -168,7 +171,10 @@ def test_search_skips_vectors_without_direction(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [1.0]), (6, [2.0, 0.0])], "vec_id long, vector array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, q array<float>")
     assert [(r.vec_id, r.distance) for r in vec.vector_topk(q, v, 3).orderBy("rank").collect()] == [(1, 0.0), (6, 0.0), (4, 0.2929)]
-    assert vec.vector_topk(q.limit(0), v, 3).count() == 0
+    assert vec.vector_topk(q.limit(0), v, 3).count() == 0 and vec.vector_topk(q, v.limit(0), 3).count() == 0
+    own = spark.createDataFrame([("b", [1.0, 0.0], "t1"), ("a", [2.0, 0.0], "t1"), ("c", [1.0, 0.0], "t2"), ("d", [1.0, 0.0], None)], "vec_id string, vector array<float>, tenant string")
+    asked = spark.createDataFrame([(0, [1.0, 0.0], "t1"), (1, [1.0, 0.0], None)], "qid int, q array<double>, tenant string")
+    assert [(r.qid, r.vec_id) for r in vec.vector_topk(asked, own, 5, same=["tenant"]).orderBy("rank").collect()] == [(0, "a"), (0, "b")]
 
 
 def test_ranks_fuse_and_are_governed(spark):
@@ -252,7 +258,8 @@ def test_queries_in_blocks_find_the_same(spark, monkeypatch):
     v = spark.createDataFrame(rows, "vec_id long, vector array<float>")
     q = v.selectExpr("vec_id as qid", "vector as q")
     once = sorted(map(tuple, vec.vector_topk(q, v, 3).collect()))
-    monkeypatch.setattr(vec, "BROADCAST_QUERIES", 7)
+    for name, few in (("BLOCK_BYTES", 200), ("PASS_BLOCKS", 2), ("PRODUCTS", 30)):
+        monkeypatch.setattr(vec, name, few)
     assert sorted(map(tuple, vec.vector_topk(q, v, 3).collect())) == once
     for i, x in rows[:5]:
         dist = sorted((round(1 - sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5, 3), j) for j, y in rows)

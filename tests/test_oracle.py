@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docloom.plans import feeds, pipeline
+from docloom.plans import corpus, feeds, pipeline
 
-NAMES = [(m, n) for m in (feeds, pipeline) for n in m.SQL]
+NAMES = [(m, n) for m in (feeds, pipeline, corpus) for n in m.SQL]
 
 
 def _rows(df):
