@@ -54,7 +54,7 @@ def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_path(spark, "corpus-files")
     kind = F.concat_ws("-", F.coalesce("doc_type", F.lit("none")), F.coalesce("lang", F.lit("none")))
     texts = table(spark, sf_dir, "documents").where("text is not null").select(kind.alias("kind"), F.concat("text", F.lit("\n")).alias("value"))
-    texts.repartition("kind", F.pmod(F.xxhash64("value"), F.lit(4))).write.partitionBy("kind").text(at)
+    texts.write.partitionBy("kind").text(at)
     cut = file_pieces(spark, at, 1 << 18)
     return cut.select(F.regexp_extract("item", "kind=([^/]*)", 1).alias("kind"), "piece_no", "first", "last", "text")
 
