@@ -223,12 +223,8 @@ def test_recognition_lines(spark, tmp_path):
 
 def test_a_corpus(spark, sf_dir):
     c = Corpus(spark, sf_dir, [mf.Profile("a", 64), mf.Profile("b", 32)])
-    rows = c.read("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = rows.where("vec_id < 2").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("profile_id"), F.col("vector").alias("q"))
-    hits = c.search(asked, {"a": rows, "b": rows}, k=99).collect()
-    assert len(hits) == 40 and all(h.hits == 2 for h in hits)
     version = c.read("chunks").first().version_pk
-    assert 1 <= c.excerpt(version).count() <= 3
+    assert 1 <= c.excerpt(version, version.split("#")[0]).count() <= 3
     assert c.backfill(limit=5).count() == 5 and c.current().count() <= c.state().count()
     assert c.requests().select("profile_id").distinct().count() == 2
     first = c.backfill(limit=5).agg(F.max("object_pk")).first()[0]
