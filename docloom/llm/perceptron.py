@@ -17,11 +17,16 @@ class AveragedPerceptron:
     def score(self, features: Iterable[str], label: str) -> float:
         return sum(self.weights[f].get(label, 0.0) for f in features if f in self.weights)
 
+    def sum(self, keys: Iterable[tuple[str, str]]) -> float:
+        """Score of (feature, label) pairs, for actions with several labels."""
+        return sum(self.weights[f].get(label, 0.0) for f, label in keys if f in self.weights)
+
     def best(self, features: Sequence[str], labels: Sequence[str]) -> str:
         return max(labels, key=lambda k: self.score(features, k))
 
     def train(self, examples: list[tuple[list[dict], int]], epochs: int = 5, seed: int = 1, margin: float = 1.0) -> None:
-        """Each example: candidate actions, each {"label", "features"}, and the place of the right one.
+        """Each example: candidate actions, each {"label", "features"} or {"keys": (feature, label) pairs}, and the place of the
+        right one.
 
         Weights change wherever the right action does not lead all others by the margin.
         """
@@ -32,15 +37,15 @@ class AveragedPerceptron:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for k in rng.permutation(len(examples)):
-                candidates, right = examples[k]
+                actions, right = examples[k]
+                candidates = [c.get("keys") or [(f, c["label"]) for f in c["features"]] for c in actions]
                 step += 1
-                scores = [sum(now.get((f, c["label"]), 0.0) for f in c["features"]) for c in candidates]
+                scores = [sum(now.get(key, 0.0) for key in c) for c in candidates]
                 rivals = [x if i != right else -np.inf for i, x in enumerate(scores)]
                 guess = int(np.argmax(rivals))
                 if len(scores) > 1 and scores[right] - rivals[guess] < margin:
                     for at, change in ((right, 1.0), (guess, -1.0)):
-                        for f in candidates[at]["features"]:
-                            key = (f, candidates[at]["label"])
+                        for key in candidates[at]:
                             total[key] += (step - last[key]) * now[key]
                             last[key] = step
                             now[key] += change

@@ -1,18 +1,20 @@
 """Repair of text from scanned pages.
 
 Three decisions are learnt with averaged perceptrons, all on text of the corpus itself: which lines at the edge of a page
-are furniture (features of place, shape and repetition), which words are misread and how (edits of one or two characters,
-made of keep, replace, delete and insert), and which marks at a line's end only break a word (join). The word counts of
-the chunks that were not scanned are the lexicon; counts of lines over a version and over the corpus are computed on all
-pages. The editor itself is fitted on a bounded sample of pages (SAMPLE_PAGES).
+are furniture (features of place, shape and repetition), which characters of a word are misread and how (each is kept,
+replaced or deleted, or one is inserted), and which marks at a line's end only break a word (join).
+
+Words are decided once for the whole corpus, not page by page: all words of chunks that were not scanned, however many, are
+the lexicon, a table; every other word of the pages meets the known words that one or two edits lead to by joins. The
+words met most often, known and unknown (COMMON of each), go to the tasks as a broadcast; pages with any other word ask for
+it, and are finished after a join with the answers.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,8 +24,12 @@ from docloom.io import materialize, parallelism
 from docloom.llm.perceptron import AveragedPerceptron
 
 PAGE = "page_text_chunk"
-#: Pages of the editor's training sample, words of the lexicon, least count of a word in it, non-blank lines of an edge.
-SAMPLE_PAGES, LEXICON, LEAST_COUNT, EDGE = 4000, 200_000, 3, 3
+#: Pages (about) whose broken lines train the joins; words of each kind that train the editor, at most; both chosen by a hash.
+SAMPLE_PAGES, TRAIN = 4000, 10_000
+#: How often a word must occur in text that was not scanned to be a known one; non-blank lines that are a page's edge.
+LEAST_COUNT, EDGE = 3, 3
+#: Known words, and decided unknown ones, in one broadcast: the most frequent. The others are looked up by a join.
+COMMON = 200_000
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+")
 _LETTERS = re.compile(r"[A-Za-zÀ-ɏ]")
 _COMPOUND = re.compile(r"[a-zß-ɏ]+-[a-zß-ɏ]+")
@@ -37,37 +43,235 @@ _FOLD = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("fi", "h"), ("li",
 _FOLD_ONE = str.maketrans("10i5tceb6g9", "lollsfcchq" + "q")
 
 
-# ---------------------------------------------------------------- lexicon
+# ---------------------------------------------------------------- words
+
+def line_ends(lines: list[str], following: str | None = None) -> Iterator[tuple[int, re.Match, re.Match | None]]:
+    """Lines (by place) that end in a mark that may break a word, with the beginning of the next one that is not blank."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    for k, i in enumerate(full):
+        if hit := _BROKEN.search(lines[i]):
+            after = lines[full[k + 1]] if k + 1 < len(full) else following
+            yield i, hit, _BEGIN.match(after) if after else None
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
+    """Words with how often they occur in clean text, on pages, and in parts there, broken at a line's end."""
+    clean: Counter = Counter()
+    page: Counter = Counter()
+    broken: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        words = list(clean.keys() | page.keys() | broken.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (clean, page, broken))], names=["word", "clean", "page", "broken"])
+        for c in (clean, page, broken):
+            c.clear()
+        return out
+
     for b in batches:
-        for text in b.column("text").to_pylist():
+        for kind, text in zip(b.column("chunk_type").to_pylist(), b.column("text").to_pylist()):
             low = text.lower()
-            words.update(w for w in _WORD.findall(low) if len(w) <= 40)
-            words.update(_COMPOUND.findall(low))
-        if len(words) > 500_000:
-            yield _word_batch(words)
-            words = Counter()
-    yield _word_batch(words)
+            if kind != PAGE:
+                clean.update(_WORD.findall(low))
+                clean.update(_COMPOUND.findall(low))
+                continue
+            page.update(_WORD.findall(low))
+            for _, hit, nxt in line_ends(low.split("\n")):
+                a, z = hit.group(1), nxt.group(1) if nxt else ""
+                page[a] -= 1
+                broken[a] += 1
+                if z:
+                    page[z] -= 1
+                    broken.update((z, a + z, f"{a}-{z}"))
+        if len(clean) + len(page) + len(broken) > 500_000:
+            yield rows()
+    yield rows()
+
+
+def word_table(chunks: DataFrame, spark: SparkSession) -> DataFrame:
+    """(word, clean, page, broken, known): all words of chunks with their counts. Known are those that occur LEAST_COUNT times in
+    text that was not scanned; where there is no such text, those of the pages that are too frequent to be chance misreadings."""
+    texts = chunks.where(F.col("text").isNotNull()).select(F.coalesce("chunk_type", F.lit("")).alias("chunk_type"), "text")
+    parts = texts.coalesce(4 * parallelism(spark)).mapInArrow(_count_words, "word string, clean long, page long, broken long")
+    counts = materialize(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "page", "broken")]), "scan-words")
+    any_clean = counts.where(F.col("clean") >= LEAST_COUNT).limit(1).count() > 0
+    known = F.col("clean") >= LEAST_COUNT if any_clean else (F.col("page") >= 20) & ~F.col("word").rlike("[0-9]")
+    return counts.withColumn("known", known)
+
+
+# ---------------------------------------------------------------- edits of words
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each start of a word, its ways to leave out one or two characters that leave something."""
+    for b in batches:
+        names = [n for n in b.schema.names if n != "start"]
+        owner, mask, at, piece = [], [], [], []
+        for k, w in enumerate(b.column("start").to_pylist()):
+            for n in (1, 2):
+                for i in range(len(w) - n + 1):
+                    if len(w) > n:
+                        owner.append(k)
+                        mask.append(w[:i] + "*" + w[i + n :])
+                        at.append(i)
+                        piece.append(w[i : i + n])
+        take = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(n).take(take) for n in names), b.column("start").take(take), pa.array(mask, pa.string()), pa.array(at, pa.int32()), pa.array(piece, pa.string())], names=[*names, "start", "mask", "at", "piece"])
+
+
+def near_words(starts: DataFrame, known: DataFrame) -> DataFrame:
+    """starts (start, ...) with each known word (word, clean) that one edit leads to: at, piece, put, to, count. An edit puts
+    one or two characters in place of one or two, not two for two, and changes no character that it could leave."""
+    extra = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in starts.schema.fields if f.name != "start")
+    left = starts.select(*[c for c in starts.columns if c != "start"], "start").mapInArrow(_masks, f"{extra}{', ' if extra else ''}start string, mask string, at int, piece string")
+    right = known.select("clean", F.col("word").alias("start")).mapInArrow(_masks, "clean long, start string, mask string, at int, piece string")
+    right = right.select("mask", F.col("piece").alias("put"), F.col("start").alias("to"), F.col("clean").alias("count"))
+    met = left.join(right, "mask").drop("mask")
+    two = (F.length("put") == 2) & (F.length("piece") == 2)
+    return met.where((F.col("put") != F.col("piece")) & ~two & ~F.contains("piece", F.col("put")) & (~F.contains("put", F.col("piece")) | F.col("piece").rlike("^[0-9]+$")))
+
+
+def _ops(piece: str, put: str) -> list[tuple[str, str, str]]:
+    """What happens to each character: keep, replace, delete or insert."""
+    out = [("keep" if a == b else "replace", a, b) for a, b in zip(piece, put)]
+    return out + [("delete", a, "") for a in piece[len(put) :]] + [("insert", "", b) for b in put[len(piece) :]]
+
+
+def _keep(word: str, clean: int) -> list[tuple[str, str]]:
+    """(feature, label) of leaving a word as it is. clean: how often it occurs in text that was not scanned."""
+    size, digit = min(len(word), 8), any(c.isdigit() for c in word)
+    f = ["bias", f"digit={digit}", f"size={size}", f"digit={digit},size={size}", f"clean={min(clean, LEAST_COUNT)}"]
+    return [(x, "keep") for x in f]
+
+
+def _edit(start: str, at: int, piece: str, put: str, count: int) -> list[tuple[str, str]]:
+    """(feature, label) of an edit, character by character."""
+    change = f"{piece}>{put}"
+    left, right = start[at - 1 : at] if at else "^", start[at + len(piece) : at + len(piece) + 1] or "$"
+    out = []
+    for k, (op, a, b) in enumerate(_ops(piece, put)):
+        f = [f"{a}>{b}", change, f"{left}[{change}", f"{change}]{right}"] if op != "keep" else [f"{a} in {change}"]
+        if k == 0:
+            f += ["bias", f"count={count.bit_length() // 2}", f"size={min(len(start), 8)}", f"digit={any(c.isdigit() for c in piece)}"]
+        out += [(x, op) for x in f]
+    return out
+
+
+def _distinct_edits(near: list[dict]) -> list[dict]:
+    """The edits of a word in a fixed order, the shortest one to each target."""
+    best: dict[str, dict] = {}
+    for c in sorted(near, key=lambda c: (len(c["piece"]) + len(c["put"]), c["at"], c["put"])):
+        best.setdefault(c["to"], c)
+    return sorted(best.values(), key=lambda c: c["to"])
+
+
+def fit_editor(words: DataFrame) -> tuple[AveragedPerceptron, list[tuple[str, str]], DataFrame]:
+    """The perceptron of the editor, the confusions (piece, put) it may use, and the edits of all unknown words.
+
+    Unknown words of the pages that one edit leads from to a single known word are taken as its misreadings; confusions are
+    those seen often enough over all pages. The perceptron learns from TRAIN words of each kind: misread ones, unknown ones
+    that no such edit leads from, and known ones.
+    """
+    letters = F.col("word").rlike("[A-Za-zÀ-ɏ]") & ~F.contains("word", F.lit("-")) & (F.length("word") > 1)
+    unknown = words.where(~F.col("known") & (F.col("page") + F.col("broken") > 0) & letters)
+    known = words.where("known")
+    near = materialize(near_words(unknown.select(F.col("word").alias("start"), F.col("clean").alias("own"), "page", "broken"), known), "scan-near")
+    sound = (F.length("start").between(4, 25)) & (F.length("to").between(4, 24)) & F.col("to").rlike(r"^\p{L}+$") & (F.col("count") >= 2 * LEAST_COUNT) & (F.col("page") > 0)
+    single = near.where(sound).groupBy("start").agg(F.count_distinct("to").alias("ways"), F.min(F.struct(F.length("piece") + F.length("put"), "at", "piece", "put", "to")).alias("e"), F.max("page").alias("page")).where("ways = 1")
+    single = materialize(single.select("start", "e.piece", "e.put", "e.to", "page"), "scan-pairs")
+    pairs = single.count()
+    often = single.groupBy("piece", "put").agg(F.sum(F.least("page", F.lit(5))).alias("n")).where(F.col("n") >= max(3, pairs // 1000))
+    # pieces of one or two characters, seen often: a small table whatever the pages
+    edits = sorted((r.piece, r.put) for r in often.collect())
+
+    near_known = near_words(_some(known.where(F.length("word") > 3).select(F.col("word").alias("start"), F.col("clean").alias("own"))), known)
+    examples = []
+    allowed = set(edits)
+    listed = F.collect_list(F.struct("at", "piece", "put", "to", "count")).alias("near")
+    targets = single.select("start", F.col("to").alias("right"))
+    # shorter unknown words are mostly fragments, of which nothing can be learnt about leaving words
+    lists = near.where((F.col("page") > 0) & (F.length("start") > 3)).groupBy("start", "own").agg(listed).join(targets, "start", "left")
+    doubtful = near.where(sound).select("start").distinct().join(targets, "start", "left_anti")
+    misread, others = lists.where("right is not null"), lists.where("right is null").join(doubtful, "start", "left_anti")
+    plain = near_known.groupBy("start", "own").agg(listed).withColumn("right", F.lit(None).cast("string"))
+    for part in (misread, others, plain):
+        for r in sorted(_some(part).collect(), key=lambda r: r.start):
+            options = [c for c in _distinct_edits([x.asDict() for x in r.near]) if (c["piece"], c["put"]) in allowed]
+            keys = [_keep(r.start, r.own)] + [_edit(r.start, c["at"], c["piece"], c["put"], c["count"]) for c in options]
+            at = next((k for k, c in enumerate(options, 1) if c["to"] == r.right), 0)
+            if len(keys) > 1:
+                examples.append(([{"keys": k} for k in keys], at))
+    model = AveragedPerceptron()
+    model.train(examples, epochs=4)
+    return model, edits, near
 
 
-def _word_batch(words: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+def _some(rows: DataFrame, bound: int = TRAIN) -> DataFrame:
+    """About bound rows (start, ...) at most, chosen by a hash of start."""
+    n = rows.count()
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(F.lit(5), "start"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
-def lexicon(chunks: DataFrame, spark: SparkSession) -> dict[str, int]:
-    """Counts of words, and of compounds with a hyphen, in chunks that were not scanned: the LEXICON most frequent ones.
+def _choose(shared):
+    """The word that each unknown word should read: the best of its edits, if it beats leaving the word as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        model = AveragedPerceptron()
+        model.weights = weights
+        for b in batches:
+            out = []
+            for word, own, near in zip(*(b.column(c).to_pylist() for c in ("word", "own", "near"))):
+                best, top = None, model.sum(_keep(word, own))
+                for c in sorted(near, key=lambda c: (c["to"], c["half"] or "", c["at"], c["put"])):
+                    score = model.sum(_edit(c["half"] or word, c["at"], c["piece"], c["put"], c["count"]))
+                    if c["half"]:
+                        score = min(score, model.sum(_edit(word, c["at1"], c["piece1"], c["put1"], c["count"])))
+                    if score > top:
+                        best, top = c["to"], score
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(out, pa.string())], names=["word", "fix"])
+
+    return run
+
+
+def _halves(edits: list[tuple[str, str]]):
+    """Words that one confusion leads to, from which another may go on; digits never grow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[str]] = {}
+        for piece, put in edits:
+            by.setdefault(piece, []).append(put)
+        for b in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for word, own in zip(b.column("word").to_pylist(), b.column("own").to_pylist()):
+                for n in (1, 2):
+                    for i in range(len(word) - n + 1):
+                        for put in by.get(word[i : i + n], ()):
+                            half = word[:i] + put + word[i + n :]
+                            if len(half) > 4:
+                                for c, v in zip(cols, (word, own, i, word[i : i + n], put, half)):
+                                    c.append(v)
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "at1", "piece1", "put1", "start"])
+
+    return run
 
-    Where there are none, the words of the pages that occur often enough to be no chance misreading stand in.
-    """
-    clean = chunks.where((F.col("chunk_type") != PAGE) & F.col("text").isNotNull())
-    counts = clean.select("text").coalesce(4 * parallelism(spark)).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
-    if not top.num_rows:
-        pages = chunks.where(F.col("text").isNotNull()).select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        top = pages.where((F.col("n") >= 20) & ~F.col("word").rlike("[0-9]")).orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
-    return dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+
+def decided_words(spark: SparkSession, unknown: DataFrame, near: DataFrame, known: DataFrame, model: AveragedPerceptron, edits: list[tuple[str, str]]) -> DataFrame:
+    """(word, fix): what unknown words (word, clean) should read; null for those that stay. near: their single edits (start, ...).
+    Words that no single edit repairs may take two."""
+    spec = spark.createDataFrame(edits, "piece string, put string")
+    shared = spark.sparkContext.broadcast(model.weights)
+    one = near.join(F.broadcast(spec), ["piece", "put"])
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("half", "string"), ("at1", "int"), ("piece1", "string"), ("put1", "string"))]
+    first = one.select(F.col("start").alias("word"), "own", F.struct("at", "piece", "put", "to", "count", *nothing).alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
+    fixed = materialize(first.mapInArrow(_choose(shared), "word string, fix string").where("fix is not null"), "scan-fixed")
+    rest = unknown.join(fixed, "word", "left_anti").where(F.length("word") > 4).select("word", F.col("clean").alias("own"))
+    starts = rest.mapInArrow(_halves(edits), "word string, own long, at1 int, piece1 string, put1 string, start string")
+    two = near_words(starts, known).join(F.broadcast(spec), ["piece", "put"])
+    second = two.select("word", "own", F.struct("at", "piece", "put", "to", "count", F.col("start").alias("half"), "at1", "piece1", "put1").alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
+    more = second.mapInArrow(_choose(shared), "word string, fix string").where("fix is not null")
+    every = fixed.unionByName(more)
+    return unknown.select("word").join(every, "word", "left")
 
 
 # ---------------------------------------------------------------- furniture
@@ -181,9 +385,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if top > EDGE and bottom > EDGE:
                     continue
                 line = lines[i]
-                long = len(line) > 120
-                row = (version, chunk, place, i + 1, line[:120] if not long else line[:60] + line[-60:], "" if long else fold_line(line), top, bottom, i == 0 or not lines[i - 1].strip(),
-                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), (top >= EDGE and bottom >= EDGE) or long)
+                row = (version, chunk, place, i + 1, line, fold_line(line), top, bottom, i == 0 or not lines[i - 1].strip(),
+                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), top >= EDGE and bottom >= EDGE)
                 for c, v in zip(cols, row):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -210,13 +413,15 @@ def page_edges(pages: DataFrame) -> DataFrame:
     inner = rows.where("not body")
     here = inner.groupBy("version_pk", "folded").agg(F.count_distinct("chunk_id").alias("pages"))
     everywhere = here.groupBy("folded").agg(F.count("*").alias("versions"))
-    counted = rows.join(here, ["version_pk", "folded"], "left").join(everywhere, "folded", "left")
+    # page numbers fold alike everywhere: what a line's folded form has in all is joined to one row a version, then by version
+    seen = materialize(here.join(everywhere, "folded"), "scan-folded")
+    counted = rows.join(seen, ["version_pk", "folded"], "left")
     counted = counted.withColumns({"pages": F.coalesce("pages", F.lit(0)), "versions": F.coalesce("versions", F.lit(0))})
     shaped = materialize(counted.mapInArrow(_shapes, "version_pk string, chunk_id string, place long, line_no int, line string, top int, bottom int, body boolean, shape string"), "scan-shapes")
     counts = {r.shape: r["count"] for r in shaped.where("not body").groupBy("shape").count().collect()}
-    names = sorted(furniture_shapes(counts))
-    is_furniture = ~F.col("body") & F.array_contains(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>"), F.col("shape"))
-    marked = shaped.withColumn("furniture", is_furniture)
+    # shapes are classes: a few thousand, however many lines
+    names = rows.sparkSession.createDataFrame([(x, True) for x in sorted(furniture_shapes(counts))], "shape string, hit boolean")
+    marked = shaped.join(F.broadcast(names), "shape", "left").withColumn("furniture", ~F.col("body") & F.col("hit").isNotNull())
     text = ~F.col("furniture")
     return marked.groupBy("version_pk", "chunk_id").agg(
         F.max("place").alias("place"),
@@ -226,165 +431,69 @@ def page_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- editor
+# ---------------------------------------------------------------- pages
 
-@dataclass
 class Editor:
-    """words: lexicon; edits: what a misread piece may stand for; model: the perceptron."""
-
-    words: dict[str, int]
-    edits: dict[str, list[str]] = field(default_factory=dict)
-    model: AveragedPerceptron = field(default_factory=AveragedPerceptron)
-    cache: dict[str, str] = field(default_factory=dict)
-
-    def _candidates(self, word: str) -> list[tuple[int, str, str, str]]:
-        """Edits of word: (place, piece, what it stands for, result)."""
-        out = []
-        for i in range(len(word)):
-            for n in (1, 2):
-                piece = word[i : i + n]
-                if len(piece) == n:
-                    out += [(i, piece, to, word[:i] + to + word[i + n :]) for to in self.edits.get(piece, ())]
-        return out
-
-    def _keep(self, word: str) -> dict:
-        f = ["bias", f"known={word in self.words}", f"digit={any(c.isdigit() for c in word)}", f"size={min(len(word), 8)}", f"known={word in self.words},size={min(len(word), 8)}"]
-        return {"label": "keep", "features": f, "result": word, "at": -1}
-
-    def _edit(self, word: str, at: int, piece: str, to: str, result: str) -> dict:
-        known = self.words.get(result, 0)
-        ops = "".join("r" if a != b else "k" for a, b in zip(piece, to)) + ("d" if len(piece) > len(to) else "i" if len(to) > len(piece) else "")
-        left, right = word[at - 1 : at] if at else "^", word[at + len(piece) : at + len(piece) + 1] or "$"
-        f = ["bias", f"{piece}>{to}", f"ops={ops}", f"known={known > 0},was={word in self.words}", f"count={known.bit_length() // 2}", f"{left}[{piece}>{to}", f"{piece}>{to}]{right}",
-             f"size={min(len(word), 8)},known={known > 0}", f"digit={any(c.isdigit() for c in piece)},known={known > 0}"]
-        return {"label": "edit", "features": f, "result": result, "at": at}
-
-    def options(self, word: str) -> list[dict]:
-        return [self._keep(word)] + [self._edit(word, *c) for c in self._candidates(word)]
+    """What is known and decided about words, for the repair of a page; what it is asked and cannot tell is in asks."""
+
+    def __init__(self, known: set[str], fixes: dict[str, str | None], model: AveragedPerceptron | None = None):
+        self.known, self.fixes, self.model = known, fixes, model or AveragedPerceptron()
+        self.answers: dict[str, str | None] = {}
+        self.asks: set[str] = set()
+
+    def _fix(self, word: str) -> str | None:
+        """What a word should read: itself for known ones, null for unknown ones that stay."""
+        if word in self.known:
+            return word
+        if word in self.fixes:
+            return self.fixes[word]
+        if word in self.answers:
+            return self.answers[word]
+        self.asks.add(word)
+        return None
+
+    def knows(self, word: str) -> bool:
+        return self._fix(word) == word
 
     def repair(self, word: str) -> str:
-        """The lower-case word as it should read; itself if nothing is misread. Up to two edits."""
-        done = self.cache.get(word)
-        if done is not None:
-            return done
-        out = word
-        if word not in self.words and len(word) > 1 and _LETTERS.search(word) and len(word) <= 60:
-            best = self._best(word)
-            if best == word:
-                for _, _, _, half in self._candidates(word):
-                    if len(half) > 4 and any(c.isdigit() for c in word) >= any(c.isdigit() for c in half):
-                        two = self._best(half)
-                        if two != half and two in self.words:
-                            best = two
-                            break
-            out = best
-        if len(self.cache) < 500_000:
-            self.cache[word] = out
-        return out
-
-    def _best(self, word: str) -> str:
-        options = [o for o in self.options(word) if o["label"] == "keep" or o["result"] in self.words]
-        return max(options, key=lambda o: self.model.score(o["features"], o["label"]))["result"]
+        if len(word) < 2 or not _LETTERS.search(word):
+            return word
+        return self._fix(word) or word
 
     def joins(self, first: str, mark: str, second: str) -> bool:
         """Whether a mark between two parts only breaks a word."""
-        f = self._join_features(first.lower(), mark, second)
+        f = self.join_features(first.lower(), mark, second)
         return self.model.score(f, "join") >= self.model.score(f, "part")
 
-    def _join_features(self, first: str, mark: str, second: str) -> list[str]:
+    def join_features(self, first: str, mark: str, second: str) -> list[str]:
         low = second.lower()
-        joined, compound = self.repair(first + low) in self.words, f"{first}-{low}" in self.words or f"{self.repair(first)}-{self.repair(low)}" in self.words
+        joined, compound = self._fix(first + low) is not None, bool(low) and self.knows(f"{first}-{low}")
         kind = "hyphen" if mark in "-‐‑" else "other"
-        f, s = first in self.words, low in self.words
+        f, s = self.knows(first), bool(low) and self.knows(low)
         return ["join", f"mark={mark}", f"joined={joined},compound={compound},{kind}", f"first={f},second={s},{kind}", f"second={'none' if not low else 'lower' if second[0].islower() else 'other'},{kind}",
                 f"joined={joined},first={f},second={s}"]
 
 
-def _mine_edits(noisy: Counter, words: dict[str, int]) -> tuple[dict[str, list[str]], list[tuple[str, int, str, str, str]], set[str]]:
-    """Pieces often misread, pairs of unknown words and the only known ones a piece away, and words with several such."""
-    masks: dict[str, list[tuple[str, str]]] = defaultdict(list)
-    for w, n in words.items():
-        if n >= 2 * LEAST_COUNT and 4 <= len(w) <= 24 and w.isalpha():
-            for i in range(len(w)):
-                masks[w[:i] + "*" + w[i + 1 :]].append((w, w[i]))
-                if i + 2 <= len(w):
-                    masks[w[:i] + "*" + w[i + 2 :]].append((w, w[i : i + 2]))
-    pairs, seen, unclear = [], Counter(), set()
-    for w in noisy:
-        if not 4 <= len(w) <= 25:
-            continue
-        hits = {}
-        for i in range(len(w)):
-            for n in (1, 2):
-                piece = w[i : i + n]
-                if len(piece) == n:
-                    for to, clean in masks.get(w[:i] + "*" + w[i + n :], ()):
-                        if clean != piece and not (len(clean) == 2 and n == 2) and clean not in piece and (piece not in clean or piece.isdigit()):
-                            hits.setdefault(to, (i, piece, clean))
-        if len(hits) == 1:
-            (to, (i, piece, clean)), = hits.items()
-            pairs.append((w, i, piece, clean, to))
-            seen[(piece, clean)] += min(5, noisy[w])
-        elif hits:
-            unclear.add(w)
-    least = max(3, len(pairs) // 1000)
-    edits: dict[str, list[str]] = defaultdict(list)
-    for (piece, clean), n in seen.items():
-        if n >= least:
-            edits[piece].append(clean)
-    return dict(edits), pairs, unclear
-
-
-def fit_editor(texts: list[str], words: dict[str, int]) -> Editor:
-    """The editor, from sample pages: unknown words one edit from a known one are its repairs, known words its keeps."""
-    noisy: Counter = Counter()
-    breaks: list[tuple[str, str, str]] = []
-    for text in texts:
-        lines = [x for x in text.split("\n") if x.strip()]
-        skip = False
-        for a, b in zip(lines, lines[1:] + [""]):
-            hit = _BROKEN.search(a)
-            body = a[: hit.start()] if hit else a
-            found = _WORD.findall(body.lower())
-            noisy.update(w for w in (found[1:] if skip else found) if w not in words and len(w) > 3)
-            skip = bool(hit)
-            nxt = _BEGIN.match(b)
-            if hit and nxt:
-                breaks.append((hit.group(1).lower(), hit.group(2), nxt.group(1)))
-    edits, pairs, unclear = _mine_edits(noisy, words)
-    editor = Editor(words, edits)
+def fit_joins(texts: list[str], editor: Editor) -> AveragedPerceptron:
+    """The perceptron of line ends, from sample pages: marks that only break words, and parts whose whole alone is a word, are joins."""
     examples = []
-    for w, i, piece, clean, to in pairs[:20_000]:
-        options = editor.options(w)
-        right = [k for k, o in enumerate(options) if o["result"] == to and o["at"] == i]
-        if right:
-            examples.append((options, right[0]))
-        else:
-            examples.append((options, 0))
-    paired = {p[0] for p in pairs}
-    for w in list(noisy)[:20_000]:
-        if w not in paired and w not in unclear:
-            examples.append((editor.options(w), 0))
-    for w in list(words)[:5000]:
-        if w.isalnum():
-            examples.append((editor.options(w), 0))
-    editor.model.train(examples, epochs=4)
-    joins = []
-    for first, mark, second in breaks[:20_000]:
-        f = editor._join_features(first, mark, second)
-        joined, compound = editor.repair(first + second.lower()) in words, f"{first}-{second.lower()}" in words
-        if mark in "¬­" or (joined and not compound):
-            right = 0
-        elif compound and not joined:
-            right = 1
-        else:
-            continue
-        joins.append(([{"label": "join", "features": f}, {"label": "part", "features": f}], right))
-    more = AveragedPerceptron()
-    more.train(joins, epochs=4)
-    editor.model.weights.update(more.weights)
-    editor.cache = {}
-    return editor
+    for text in texts:
+        for _, hit, nxt in line_ends(text.split("\n")):
+            if not nxt:
+                continue
+            first, mark, second = hit.group(1).lower(), hit.group(2), nxt.group(1)
+            joined, compound = editor._fix(first + second.lower()) is not None, editor.knows(f"{first}-{second.lower()}")
+            if mark in "¬­" or (joined and not compound):
+                right = 0
+            elif compound and not joined:
+                right = 1
+            else:
+                continue
+            f = editor.join_features(first, mark, second)
+            examples.append(([{"label": "join", "features": f}, {"label": "part", "features": f}], right))
+    model = AveragedPerceptron()
+    model.train(examples, epochs=4)
+    return model
 
 
 def _recase(old: str, new: str) -> str:
@@ -486,26 +595,29 @@ def _paragraphs(editor: Editor, lines: list[str], body: list[int], fixed: dict[i
     return "\n\n".join(out)
 
 
-_REPAIRED = "version_pk string, chunk_id string, place long, cases array<struct<line_no: int, kind: string>>, text string, goes_on boolean, continues boolean"
+_REPAIRED = "version_pk string, chunk_id string, place long, cases array<struct<line_no: int, kind: string>>, text string, goes_on boolean, continues boolean, asks array<string>"
 
 
 def _repair(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, edits, weights = shared.value
-        editor = Editor(words, edits)
-        editor.model.weights = weights
+        known, fixes, weights = shared.value
+        model = AveragedPerceptron()
+        model.weights = weights
+        editor = Editor(known, fixes, model)
         kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
         for b in batches:
-            cases, texts, on, off = [], [], [], []
-            for text, furniture, previous, following in zip(*(b.column(c).to_pylist() for c in ("text", "furniture", "previous", "following"))):
+            cases, texts, on, off, asks = [], [], [], [], []
+            for text, furniture, previous, following, answers in zip(*(b.column(c).to_pylist() for c in ("text", "furniture", "previous", "following", "answers"))):
+                editor.answers, editor.asks = {a["word"]: a["fix"] for a in answers or ()}, set()
                 c, t, g, h = repair_page(editor, text, furniture or [], previous, following)
                 cases.append([{"line_no": n, "kind": k} for n, k in c])
                 texts.append(t)
                 on.append(g)
                 off.append(h)
+                asks.append(sorted(editor.asks))
             yield pa.RecordBatch.from_arrays(
-                [b.column("version_pk"), b.column("chunk_id"), b.column("place"), pa.array(cases, kind), pa.array(texts, pa.string()), pa.array(on), pa.array(off)],
-                names=["version_pk", "chunk_id", "place", "cases", "text", "goes_on", "continues"],
+                [b.column("version_pk"), b.column("chunk_id"), b.column("place"), pa.array(cases, kind), pa.array(texts, pa.string()), pa.array(on), pa.array(off), pa.array(asks, pa.list_(pa.string()))],
+                names=["version_pk", "chunk_id", "place", "cases", "text", "goes_on", "continues", "asks"],
             )
 
     return run
@@ -525,15 +637,39 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     each other by place; a page without a neighbour at the next place ends where it ends.
     """
     pages = scanned_pages(chunks)
-    words = lexicon(chunks, spark)
-    editor = fit_editor(sample_pages(pages), words)
-    shared = spark.sparkContext.broadcast((editor.words, editor.edits, editor.model.weights))
+    words = word_table(chunks, spark)
+    known = words.where("known")
+    model, edits, near = fit_editor(words)
+    unknown = words.where(~F.col("known") & (F.col("page") + F.col("broken") > 0))
+    decided = materialize(decided_words(spark, unknown, near, known, model, edits), "scan-decided")
+
+    top = known.orderBy(F.desc("clean"), F.desc("page"), "word").limit(COMMON).select("word").toArrow()
+    often = unknown.select("word", (F.col("page") + F.col("broken")).alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
+    fixes = decided.join(often, "word", "left_semi").toArrow()
+    editor = Editor(set(top.column("word").to_pylist()), dict(zip(fixes.column("word").to_pylist(), fixes.column("fix").to_pylist())))
+    editor.model = fit_joins(sample_pages(pages), editor)
+    shared = spark.sparkContext.broadcast((editor.known, editor.fixes, editor.model.weights))
+
     edges = materialize(page_edges(pages), "scan-pages")
     after = edges.groupBy("version_pk", (F.col("place") - 1).alias("place")).agg(F.min("first").alias("following"))
     before = edges.groupBy("version_pk", (F.col("place") + 1).alias("place")).agg(F.max("last").alias("previous"))
     around = edges.join(after, ["version_pk", "place"], "left").join(before, ["version_pk", "place"], "left").select("version_pk", "chunk_id", "furniture", "previous", "following")
-    rows = pages.dropDuplicates(["version_pk", "chunk_id"]).join(around, ["version_pk", "chunk_id"], "left")
-    return rows.select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following").mapInArrow(_repair(shared), _REPAIRED)
+    rows = pages.dropDuplicates(["version_pk", "chunk_id"]).join(around, ["version_pk", "chunk_id"], "left").select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following")
+    answer = "array<struct<word: string, fix: string>>"
+    done = materialize(rows.withColumn("answers", F.lit(None).cast(answer)).mapInArrow(_repair(shared), _REPAIRED), "scan-repaired")
+
+    # pages with words that the broadcast does not tell: few, and all of them finished with the answers
+    asked = materialize(done.where(F.size("asks") > 0).select("version_pk", "chunk_id", F.explode("asks").alias("word")), "scan-asked")
+    wanted = asked.select("word").distinct()
+    told = words.join(wanted, "word", "left_semi").where("known").select("word", F.col("word").alias("fix")).unionByName(decided.join(wanted, "word", "left_semi"))
+    told = materialize(told, "scan-told")
+    fresh = wanted.join(told, "word", "left_anti").withColumn("clean", F.lit(0).cast("long"))
+    letters = fresh.where(F.col("word").rlike("[A-Za-zÀ-ɏ]") & ~F.contains("word", F.lit("-")) & (F.length("word") > 1))
+    close = materialize(near_words(letters.select(F.col("word").alias("start"), F.col("clean").alias("own")), known), "scan-near")
+    told = told.unionByName(decided_words(spark, fresh, close, known, model, edits))
+    answers = asked.join(told, "word").groupBy("version_pk", "chunk_id").agg(F.collect_list(F.struct("word", "fix")).alias("answers"))
+    late = rows.join(answers, ["version_pk", "chunk_id"]).mapInArrow(_repair(shared), _REPAIRED)
+    return done.where(F.size("asks") == 0).unionByName(late).drop("asks")
 
 
 def page_noise(repaired: DataFrame) -> DataFrame:
