@@ -9,7 +9,6 @@ cuts that line exactly, once an epoch.
 from __future__ import annotations
 
 import base64
-import importlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.io import materialize
 
-#: Vocabulary file of a public tokenizer; its path is a parameter.
+#: Vocabulary file of a public tokenizer; its path is a parameter, as is the pattern by which it parts words.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Records of a key range, about.
 RANGE = 20_000
@@ -27,20 +26,22 @@ SEED = 20
 
 
 @lru_cache(2)
-def _encoder(path: str):
+def _encoder(path: str, pattern: str | None):
     import tiktoken
 
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern  # the package that holds the vocabulary files
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = importlib.import_module("public_tokenizers").PATTERN
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of each row; null texts have none."""
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """(doc_id, source, tokens) of each row; null texts have none. pattern: how the tokenizer parts words, that of the package of
+    the vocabulary files if none is given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(vocabulary, pattern).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -71,7 +72,7 @@ def plan_budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     return rows.withColumn("budget", F.least(wanted, F.col("available") * F.col("max_repeats")).cast("long"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = SEED, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture, (doc_id, source, epoch, tokens), one row each time a record is used, and its report.
 
     The report has a row for each target: (source, target_share, max_repeats, available_tokens, records, tokens,
@@ -79,7 +80,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     left out, so a source falls short of its budget by less than one record. Records of sources that are no target,
     and empty records, are not used; a doc_id that stands in several rows counts in each.
     """
-    counted = token_counts(documents, vocabulary).withColumn("key", source_key(F.col("source"))).where("key is not null and tokens > 0")
+    counted = token_counts(documents, vocabulary, pattern).withColumn("key", source_key(F.col("source"))).where("key is not null and tokens > 0")
     rows = materialize(counted.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "tokens"), 1)), "mixture-tokens")
     stats = rows.groupBy("key").agg(F.sum("tokens").alias("available"), F.count("*").alias("n"))
     budgets = plan_budgets(stats.select("key", "available"), targets, total)

@@ -25,7 +25,7 @@ from docloom.llm.perceptron import AveragedPerceptron
 
 PAGE = "page_text_chunk"
 #: Pages (about) whose broken lines train the joins; words of each kind that train the editor, at most; both chosen by a hash.
-SAMPLE_PAGES, TRAIN = 4000, 10_000
+SAMPLE_PAGES, TRAIN = 4000, 3000
 #: How often a word must occur in text that was not scanned to be a known one; non-blank lines that are a page's edge.
 LEAST_COUNT, EDGE = 3, 3
 #: Known words, and decided unknown ones, in one broadcast: the most frequent. The others are looked up by a join.
@@ -182,19 +182,19 @@ def fit_editor(words: DataFrame) -> tuple[AveragedPerceptron, list[tuple[str, st
     # pieces of one or two characters, seen often: a small table whatever the pages
     edits = sorted((r.piece, r.put) for r in often.collect())
 
+    spec = F.broadcast(words.sparkSession.createDataFrame(edits, "piece string, put string"))
     near_known = near_words(_some(known.where(F.length("word") > 3).select(F.col("word").alias("start"), F.col("clean").alias("own"))), known)
     examples = []
-    allowed = set(edits)
     listed = F.collect_list(F.struct("at", "piece", "put", "to", "count")).alias("near")
     targets = single.select("start", F.col("to").alias("right"))
     # shorter unknown words are mostly fragments, of which nothing can be learnt about leaving words
-    lists = near.where((F.col("page") > 0) & (F.length("start") > 3)).groupBy("start", "own").agg(listed).join(targets, "start", "left")
+    lists = near.where((F.col("page") > 0) & (F.length("start") > 3)).join(spec, ["piece", "put"]).groupBy("start", "own").agg(listed).join(targets, "start", "left")
     doubtful = near.where(sound).select("start").distinct().join(targets, "start", "left_anti")
     misread, others = lists.where("right is not null"), lists.where("right is null").join(doubtful, "start", "left_anti")
-    plain = near_known.groupBy("start", "own").agg(listed).withColumn("right", F.lit(None).cast("string"))
+    plain = near_known.join(spec, ["piece", "put"]).groupBy("start", "own").agg(listed).withColumn("right", F.lit(None).cast("string"))
     for part in (misread, others, plain):
         for r in sorted(_some(part).collect(), key=lambda r: r.start):
-            options = [c for c in _distinct_edits([x.asDict() for x in r.near]) if (c["piece"], c["put"]) in allowed]
+            options = _distinct_edits([x.asDict() for x in r.near])
             keys = [_keep(r.start, r.own)] + [_edit(r.start, c["at"], c["piece"], c["put"], c["count"]) for c in options]
             at = next((k for k, c in enumerate(options, 1) if c["to"] == r.right), 0)
             if len(keys) > 1:
