@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.identity import object_of_version_pk
-from docloom.io import exists, materialize
+from docloom.io import exists, materialize, remove
 from docloom.operators.contracts import job_violations
 from docloom.operators.manifests import batches, complete_versions, flag_latest, superseded
 
@@ -32,11 +32,13 @@ def read_index(spark: SparkSession, at: str, like: DataFrame) -> DataFrame:
 def _replace(spark: SparkSession, at: str, rows: DataFrame, touched: DataFrame, buckets: int) -> None:
     """Rows in place of all that stands in the buckets of the touched objects."""
     keep = rows.withColumn("bucket", _bucket(object_of_version_pk(F.col("version_pk")), buckets))
-    staged = materialize(keep, "index-stage")
-    hit = touched.select(_bucket(F.col("object_pk"), buckets).alias("bucket")).distinct()
-    staged = staged.join(F.broadcast(hit), "bucket", "left_semi")
-    # one file a bucket
+    hit = [r.bucket for r in touched.select(_bucket(F.col("object_pk"), buckets).alias("bucket")).distinct().collect()]  # as many as there are buckets
+    staged = materialize(keep.where(F.col("bucket").isin(hit)), "index-stage")
+    # one file a bucket; an overwrite of partitions leaves those alone that get no rows, so they are removed
+    left = {r.bucket for r in staged.select("bucket").distinct().collect()}
     staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+    for b in set(hit) - left:
+        remove(spark, f"{at}/bucket={b}")
 
 
 def after_persist(index: DataFrame, new: DataFrame) -> DataFrame:

@@ -126,20 +126,21 @@ def test_assets_stand_in_for_chunks(spark):
     assert got == {"c1": ("chunk", "one", [(1, "c2")]), "asset#1": ("asset", "picture", [])}
 
 
-def test_sinks(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_sinks(spark, tmp_path, buckets):
     at = str(tmp_path / "index")
     row = lambda v, s: (f"t#b#{v[0]}#{v}", s, True)
     make = lambda *rows: spark.createDataFrame([row(*r) for r in rows], "version_pk string, sk string, is_latest boolean")
     read = lambda: {(r.version_pk[6:], r.sk): r.is_latest for r in sk.read_index(spark, at, make(("k1", "a"))).collect()}
-    sk.persist_index(spark, at, make(("k1", "a"), ("k1", "b"), ("m1", "a")), 4)
+    sk.persist_index(spark, at, make(("k1", "a"), ("k1", "b"), ("m1", "a")), buckets)
     before = sk.read_index(spark, at, make(("k1", "a"))).where("version_pk = 't#b#k#k1'").collect()
-    sk.persist_index(spark, at, make(("k2", "a")), 4)
+    sk.persist_index(spark, at, make(("k2", "a")), buckets)
     assert read() == {("k1", "a"): False, ("k1", "b"): False, ("k2", "a"): True, ("m1", "a"): True}
-    sk.persist_index(spark, at, make(("k2", "a")), 4)
+    sk.persist_index(spark, at, make(("k2", "a")), buckets)
     assert len(read()) == 4 and read()["k2", "a"]
-    sk.rollback_index(spark, at, make(("k2", "a")), spark.createDataFrame(before), 4)
+    sk.rollback_index(spark, at, make(("k2", "a")), spark.createDataFrame(before), buckets)
     assert read() == {("k1", "a"): True, ("k1", "b"): True, ("m1", "a"): True}
-    sk.delete_versions(spark, at, make(("k1", "a")).select("version_pk"), make(("k1", "a")), 4)
+    sk.delete_versions(spark, at, make(("k1", "a")).select("version_pk"), make(("k1", "a")), buckets)
     assert read() == {("m1", "a"): True}
     sk.put_vectors(spark.range(1200).selectExpr("'p' as profile_id", "id"), str(tmp_path / "vectors"), 500)
     assert spark.read.parquet(str(tmp_path / "vectors")).count() == 1200
