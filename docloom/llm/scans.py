@@ -31,11 +31,13 @@ LEAST_COUNT, EDGE = 3, 3
 #: Known words, and decided unknown ones, in one broadcast: the most frequent. The others are looked up by a join.
 COMMON = 200_000
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+")
-_LETTERS = re.compile(r"[A-Za-zÀ-ɏ]")
+_LETTER = "[A-Za-zÀ-ɏ]"
+_LETTERS = re.compile(_LETTER)
 _COMPOUND = re.compile(r"[a-zß-ɏ]+-[a-zß-ɏ]+")
 # Marks that may stand where a word is broken at a line's end (hyphens, not sign, soft hyphen).
 MARKS = "-‐‑¬­"
 _BROKEN = re.compile(rf"([A-Za-zÀ-ɏ0-9]+)([{MARKS}])\s*$")
+_MARKS = frozenset(MARKS)
 _BEGIN = re.compile(r"^\s*([A-Za-zÀ-ɏ0-9]+)")
 _SENTENCE_END = (".", "!", "?", "。", "！", "？", ":", ";", "）", "”", '"')
 # Characters that scanning confuses, folded into one so that two readings of a line look alike.
@@ -45,11 +47,16 @@ _FOLD_ONE = str.maketrans("10i5tceb6g9", "lollsfcchq" + "q")
 
 # ---------------------------------------------------------------- words
 
+def _broken(line: str) -> re.Match | None:
+    """The last word of a line and the mark behind it, if it ends in one."""
+    return _BROKEN.search(line) if line.rstrip()[-1:] in _MARKS else None
+
+
 def line_ends(lines: list[str], following: str | None = None) -> Iterator[tuple[int, re.Match, re.Match | None]]:
     """Lines (by place) that end in a mark that may break a word, with the beginning of the next one that is not blank."""
     full = [i for i, x in enumerate(lines) if x.strip()]
     for k, i in enumerate(full):
-        if hit := _BROKEN.search(lines[i]):
+        if hit := _broken(lines[i]):
             after = lines[full[k + 1]] if k + 1 < len(full) else following
             yield i, hit, _BEGIN.match(after) if after else None
 
@@ -170,7 +177,7 @@ def fit_editor(words: DataFrame) -> tuple[AveragedPerceptron, list[tuple[str, st
     those seen often enough over all pages. The perceptron learns from TRAIN words of each kind: misread ones, unknown ones
     that no such edit leads from, and known ones.
     """
-    letters = F.col("word").rlike("[A-Za-zÀ-ɏ]") & ~F.contains("word", F.lit("-")) & (F.length("word") > 1)
+    letters = F.col("word").rlike(_LETTER) & ~F.contains("word", F.lit("-")) & (F.length("word") > 1)
     unknown = words.where(~F.col("known") & (F.col("page") + F.col("broken") > 0) & letters)
     known = words.where("known")
     near = materialize(near_words(unknown.select(F.col("word").alias("start"), F.col("clean").alias("own"), "page", "broken"), known), "scan-near")
@@ -189,11 +196,13 @@ def fit_editor(words: DataFrame) -> tuple[AveragedPerceptron, list[tuple[str, st
     targets = single.select("start", F.col("to").alias("right"))
     # shorter unknown words are mostly fragments, of which nothing can be learnt about leaving words
     lists = near.where((F.col("page") > 0) & (F.length("start") > 3)).join(spec, ["piece", "put"]).groupBy("start", "own").agg(listed).join(targets, "start", "left")
-    doubtful = near.where(sound).select("start").distinct().join(targets, "start", "left_anti")
-    misread, others = lists.where("right is not null"), lists.where("right is null").join(doubtful, "start", "left_anti")
-    plain = near_known.join(spec, ["piece", "put"]).groupBy("start", "own").agg(listed).withColumn("right", F.lit(None).cast("string"))
-    for part in (misread, others, plain):
-        for r in sorted(_some(part).collect(), key=lambda r: r.start):
+    doubtful = near.where(sound).select("start").distinct().withColumn("doubt", F.lit(True))
+    unclear = F.col("right").isNull() & F.col("doubt").isNotNull()
+    plain = near_known.join(spec, ["piece", "put"]).groupBy("start", "own").agg(listed).select("start", "own", "near", F.lit(None).cast("string").alias("right"), F.lit("known").alias("kind"))
+    lists = lists.join(doubtful, "start", "left").where(~unclear).select("start", "own", "near", "right", F.when(F.col("right").isNull(), "other").otherwise("misread").alias("kind"))
+    every = materialize(lists.unionByName(plain), "scan-train")
+    for kind in ("misread", "other", "known"):
+        for r in sorted(_some(every.where(F.col("kind") == kind)).collect(), key=lambda r: r.start):
             options = _distinct_edits([x.asDict() for x in r.near])
             keys = [_keep(r.start, r.own)] + [_edit(r.start, c["at"], c["piece"], c["put"], c["count"]) for c in options]
             at = next((k for k, c in enumerate(options, 1) if c["to"] == r.right), 0)
@@ -265,7 +274,7 @@ def decided_words(spark: SparkSession, unknown: DataFrame, near: DataFrame, know
     nothing = [F.lit(None).cast(k).alias(c) for c, k in (("half", "string"), ("at1", "int"), ("piece1", "string"), ("put1", "string"))]
     first = one.select(F.col("start").alias("word"), "own", F.struct("at", "piece", "put", "to", "count", *nothing).alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
     fixed = materialize(first.mapInArrow(_choose(shared), "word string, fix string").where("fix is not null"), "scan-fixed")
-    rest = unknown.join(fixed, "word", "left_anti").where(F.length("word") > 4).select("word", F.col("clean").alias("own"))
+    rest = unknown.where(~F.contains("word", F.lit("-")) & F.col("word").rlike(_LETTER)).join(fixed, "word", "left_anti").where(F.length("word") > 4).select("word", F.col("clean").alias("own"))
     starts = rest.mapInArrow(_halves(edits), "word string, own long, at1 int, piece1 string, put1 string, start string")
     two = near_words(starts, known).join(F.broadcast(spec), ["piece", "put"])
     second = two.select("word", "own", F.struct("at", "piece", "put", "to", "count", F.col("start").alias("half"), "at1", "piece1", "put1").alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
@@ -327,7 +336,8 @@ def line_shape(line: str, top: int, bottom: int, blank_before: bool, blank_after
     begin = "lower" if first.islower() else "upper" if first.isupper() else "upper" if re.match(r"[0-9][a-zß-ɏ]", s.lstrip()) else "digit" if first.isdigit() else "other"
     size = "1" if pages <= 1 else "2" if pages == 2 else "3"
     spread = "1" if versions <= 1 else "2" if versions < 5 else "5" if versions < 30 else "30"
-    words = len(line.split())
+    # ideographs are not parted: a dozen characters are as good as a word
+    words = max(len(line.split()), len(s) // 12)
     return "|".join((room, "few" if words <= 4 else "many", str(min(top, EDGE)), str(min(bottom, EDGE)), str(int(blank_before)), str(int(blank_after)), str(ratio), _shape(line), end, begin, size, spread))
 
 
@@ -517,12 +527,12 @@ def repair_page(editor: Editor, text: str, furniture: list[int], previous: str |
     body = [i for i, x in enumerate(lines, 1) if i not in off and x.strip()]
     bad: set[int] = set()
     fixed: dict[int, str] = {}
-    prior = _BROKEN.search(previous) if previous else None
+    prior = _broken(previous) if previous else None
     goes_on = continues = False
     glue: set[int] = set()
     for k, i in enumerate(body):
         line = lines[i - 1]
-        hit = _BROKEN.search(line)
+        hit = _broken(line)
         nxt_line = lines[body[k + 1] - 1] if k + 1 < len(body) else following
         nxt = _BEGIN.match(nxt_line) if nxt_line else None
         joined = bool(hit) and editor.joins(hit.group(1), hit.group(2), nxt.group(1) if nxt else "")
@@ -595,7 +605,8 @@ def _paragraphs(editor: Editor, lines: list[str], body: list[int], fixed: dict[i
     return "\n\n".join(out)
 
 
-_REPAIRED = "version_pk string, chunk_id string, place long, cases array<struct<line_no: int, kind: string>>, text string, goes_on boolean, continues boolean, asks array<string>"
+_REPAIRED = "version_pk string, chunk_id string, place long, cases array<struct<line_no: int, kind: string>>, text string, goes_on boolean, continues boolean, asks array<string>, page struct<text: string, furniture: array<int>, previous: string, following: string>"
+_PAGE_KIND = pa.struct([("text", pa.string()), ("furniture", pa.list_(pa.int32())), ("previous", pa.string()), ("following", pa.string())])
 
 
 def _repair(shared):
@@ -606,7 +617,7 @@ def _repair(shared):
         editor = Editor(known, fixes, model)
         kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
         for b in batches:
-            cases, texts, on, off, asks = [], [], [], [], []
+            cases, texts, on, off, asks, left = [], [], [], [], [], []
             for text, furniture, previous, following, answers in zip(*(b.column(c).to_pylist() for c in ("text", "furniture", "previous", "following", "answers"))):
                 editor.answers, editor.asks = {a["word"]: a["fix"] for a in answers or ()}, set()
                 c, t, g, h = repair_page(editor, text, furniture or [], previous, following)
@@ -615,9 +626,10 @@ def _repair(shared):
                 on.append(g)
                 off.append(h)
                 asks.append(sorted(editor.asks))
+                left.append({"text": text, "furniture": furniture, "previous": previous, "following": following} if editor.asks else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("version_pk"), b.column("chunk_id"), b.column("place"), pa.array(cases, kind), pa.array(texts, pa.string()), pa.array(on), pa.array(off), pa.array(asks, pa.list_(pa.string()))],
-                names=["version_pk", "chunk_id", "place", "cases", "text", "goes_on", "continues", "asks"],
+                [b.column("version_pk"), b.column("chunk_id"), b.column("place"), pa.array(cases, kind), pa.array(texts, pa.string()), pa.array(on), pa.array(off), pa.array(asks, pa.list_(pa.string())), pa.array(left, _PAGE_KIND)],
+                names=["version_pk", "chunk_id", "place", "cases", "text", "goes_on", "continues", "asks", "page"],
             )
 
     return run
@@ -664,12 +676,13 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     told = words.join(wanted, "word", "left_semi").where("known").select("word", F.col("word").alias("fix")).unionByName(decided.join(wanted, "word", "left_semi"))
     told = materialize(told, "scan-told")
     fresh = wanted.join(told, "word", "left_anti").withColumn("clean", F.lit(0).cast("long"))
-    letters = fresh.where(F.col("word").rlike("[A-Za-zÀ-ɏ]") & ~F.contains("word", F.lit("-")) & (F.length("word") > 1))
+    letters = fresh.where(F.col("word").rlike(_LETTER) & ~F.contains("word", F.lit("-")) & (F.length("word") > 1))
     close = materialize(near_words(letters.select(F.col("word").alias("start"), F.col("clean").alias("own")), known), "scan-near")
     told = told.unionByName(decided_words(spark, fresh, close, known, model, edits))
     answers = asked.join(told, "word").groupBy("version_pk", "chunk_id").agg(F.collect_list(F.struct("word", "fix")).alias("answers"))
-    late = rows.join(answers, ["version_pk", "chunk_id"]).mapInArrow(_repair(shared), _REPAIRED)
-    return done.where(F.size("asks") == 0).unionByName(late).drop("asks")
+    open_ = done.where(F.size("asks") > 0).select("version_pk", "chunk_id", "place", "page.*").join(answers, ["version_pk", "chunk_id"])
+    late = open_.select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following", "answers").mapInArrow(_repair(shared), _REPAIRED)
+    return done.where(F.size("asks") == 0).unionByName(late).drop("asks", "page")
 
 
 def page_noise(repaired: DataFrame) -> DataFrame:
