@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(materialize(repaired_pages(spark, table(spark, sf_dir, "chunks")), "repaired"))
+    return paragraphs(repaired_pages(spark, table(spark, sf_dir, "chunks")))
 
 
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -682,6 +682,7 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     answers = asked.join(told, "word").groupBy("version_pk", "chunk_id").agg(F.collect_list(F.struct("word", "fix")).alias("answers"))
     open_ = done.where(F.size("asks") > 0).select("version_pk", "chunk_id", "place", "page.*").join(answers, ["version_pk", "chunk_id"])
     late = open_.select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following", "answers").mapInArrow(_repair(shared), _REPAIRED)
+    late = materialize(late, "scan-late")
     return done.where(F.size("asks") == 0).unionByName(late).drop("asks", "page")
 
 
