@@ -15,6 +15,7 @@ from docloom.operators.text import estimate_tokens, image_urls, normalize_text,
 SAFE, MOST = 1400, 2048
 # Style names that make a paragraph an item of a list.
 BULLETS, NUMBERS = ("list bullet",), ("list number",)
+# What a recognised document's manifest names as its engine.
 ENGINE = "PaddleOCR-VL-1.5"
 CHUNK = ["version_pk", "chunk_id", "chunk_type", "doc_type", "text", "token_estimate", "page_no", "page_first", "page_last", "slide_no", "section_path", "metadata"]
 
