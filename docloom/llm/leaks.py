@@ -2,14 +2,14 @@
 
 Passages are sentences (in documents, long ones also as windows); they are rows of a TF-IDF matrix over hashed words, with
 counts over all documents. A randomised singular value decomposition of that matrix, computed over Spark, gives a latent
-space: its rows are the passages of a bounded sample of the corpus (SAMPLE documents) and all passages of the items, which
-together weigh ITEM_SHARE of it. Every passage of every document and item is projected into the space. Items' passages are
+space: its rows are all sentences of all documents and all passages of the items, which together weigh ITEM_SHARE of it.
+Every passage of every document and item is projected into the space. Items' passages are
 held in cells around centres; a document's passage is compared with the cells that can hold anything above COSINE (an exact
 bound by angles), by batched matrix products. Candidates that share enough of the item's rare words are checked by the
 longest common subsequence, paraphrases also by the item's answer.
 
-Documents are read once for any number of items, and nothing of them is gathered. The items' vectors are made on Spark and
-broadcast in blocks of about BLOCK passages, PASS_BLOCKS of them (about 60 MB) in one pass over the documents.
+The decomposition reads the hashed words of all sentences, which the counting writes as two bytes a word. Documents are searched
+once for any number of items, and nothing of them is gathered. The items' vectors are made on Spark and broadcast in blocks of about BLOCK passages, PASS_BLOCKS of them (about 60 MB) in one pass over the documents.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ from docloom.llm import arrays
 #: Hashed words of the latent space, and of the counts from which rarity comes (both powers of two).
 FEATURES, COUNTS = 1 << 14, 1 << 18
 RANK, OVERSAMPLE, POWERS = 96, 16, 1
-#: Documents (about) in the decomposition beside the items; part of its weight that the items' passages have together.
-SAMPLE, ITEM_SHARE = 1500, 0.65
-#: Tasks of a product in the decomposition, at most: each sends FEATURES x (RANK + OVERSAMPLE) floats.
-_TASKS = 6
+#: Part of the weight of the decomposition that the items' passages have together; the documents' passages have the rest.
+ITEM_SHARE = 0.65
+#: Words (about) of the passages that a product in the decomposition takes at a time.
+_AT_ONCE = 1 << 18
 #: Least cosine of a candidate in the latent space.
 COSINE = 0.8
 #: Least share of the words of the item's sentence that must run through the document's sentence, in order; and least
@@ -108,26 +109,46 @@ def sentences(texts: list[str | None], windows: bool = False) -> Sentences:
 
 # ---------------------------------------------------------------- counts
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, words, docs = np.zeros(COUNTS, np.int64), 0, 0
+_READ = "own boolean, columns binary, sizes binary, id int, n long"
+_KINDS = pa.schema([("own", pa.bool_()), ("columns", pa.binary()), ("sizes", pa.binary()), ("id", pa.int32()), ("n", pa.int64())])
+
+
+def _bytes(values: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """Stretches of an array as one binary each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer((bound * values.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text the hashed words of its sentences one after another and the sentences' sizes: rows of the matrix. At the end
+    (id, n): occurrences of each hashed word in documents; -1 words, -2 documents, -3 sentences of documents, -4 of items."""
+    total, n = np.zeros(COUNTS, np.int64), np.zeros(4, np.int64)
     for b in batches:
-        docs += b.num_rows
         for at in range(0, b.num_rows, 64):
-            t = arrays.tokenize(b.column("text").slice(at, 64).to_pylist())
-            total += np.bincount(arrays.bins(t.hash, COUNTS), minlength=COUNTS)
-            words += len(t.start)
+            part = b.slice(at, 64)
+            own = part.column("own").to_numpy(zero_copy_only=False).astype(bool)
+            s = sentences(part.column("text").to_pylist())
+            counted = ~own[np.repeat(np.arange(len(own)), np.diff(s.bound))]
+            total += np.bincount(arrays.bins(s.hash[counted], COUNTS), minlength=COUNTS)
+            mine = int(own[s.text].sum())
+            n += (int(counted.sum()), int((~own).sum()), len(s.text) - mine, mine)
+            columns = _bytes(arrays.bins(s.hash, FEATURES).astype(np.uint16), s.bound)
+            sizes = _bytes(s.size.astype(np.int32), np.searchsorted(s.text, np.arange(len(own) + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(own), columns, sizes, pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64())], schema=_KINDS)
     at = np.flatnonzero(total)
-    ids, n = np.concatenate([at, [-1, -2]]), np.concatenate([total[at], [words, docs]])
-    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(n)], names=["id", "n"])
+    ids, counts = np.concatenate([at, [-1, -2, -3, -4]]), np.concatenate([total[at], n])
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), f.type) for f in list(_KINDS)[:3]), pa.array(ids.astype(np.int32)), pa.array(counts)], schema=_KINDS)
 
 
 @dataclass
 class Counts:
-    """bins: occurrences of each hashed word over all documents; words: of all; documents: how many have a text."""
+    """bins: occurrences of each hashed word over all documents; words: of all; documents: how many have a text; sentences and
+    own: how many these and the items have."""
 
     bins: np.ndarray
     words: int
     documents: int
+    sentences: int
+    own: int
 
     def weight(self) -> np.ndarray:
         """Of each feature: its inverse frequency squared, never nothing."""
@@ -140,32 +161,19 @@ class Counts:
         return (np.log((self.words + 1) / (self.bins[arrays.bins(hashes, COUNTS)] + 1)) ** 2).astype(np.float32)
 
 
-def word_counts(spark: SparkSession, documents: DataFrame) -> Counts:
-    """Occurrences of each hashed word over all documents: COUNTS rows at most reach the driver."""
-    texts = documents.select("text").where("text is not null")
-    parts = texts.coalesce(4 * parallelism(spark)).mapInArrow(_count, "id int, n long")
-    t = parts.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+def read_passages(spark: SparkSession, documents: DataFrame, texts: DataFrame) -> tuple[DataFrame, Counts]:
+    """(own, columns, sizes) of every text of documents and items, and the counts: COUNTS rows at most reach the driver."""
+    rows = documents.select("text", F.lit(False).alias("own")).where("text is not null").coalesce(4 * parallelism(spark))
+    read = materialize(rows.unionByName(texts.select("text", F.lit(True).alias("own"))).mapInArrow(_read, _READ), "leak-passages")
+    t = read.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
     counts = np.zeros(COUNTS, np.int64)
     counts[ids[ids >= 0]] = n[ids >= 0]
-    return Counts(counts, int(n[ids == -1].sum()), int(n[ids == -2].sum()))
+    return read.where("id is null").select("own", "columns", "sizes"), Counts(counts, *(int(n[ids == -k].sum()) for k in (1, 2, 3, 4)))
 
 
 # ---------------------------------------------------------------- latent space
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the matrix: the hashed words of each sentence."""
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            s = sentences(part.column("text").to_pylist())
-            own = part.column("own").to_numpy(zero_copy_only=False)
-            place, first = s.words()
-            ids = pa.array(arrays.bins(s.hash, FEATURES)[place].astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), ids)
-            yield pa.RecordBatch.from_arrays([pa.array(own[s.text].astype(bool)), lists], names=["own", "columns"])
-
-
 def _lists(rows: np.ndarray) -> pa.Array:
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.float32).ravel()))
@@ -177,7 +185,7 @@ def project(ids: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray
     for a in range(0, len(first), 48):
         z = min(a + 48, len(first))
         lo, hi = first[a], first[z] if z < len(first) else len(ids)
-        out[a:z] = np.add.reduceat(basis[ids[lo:hi]], first[a:z] - lo, axis=0)
+        out[a:z] = np.add.reduceat(basis.take(ids[lo:hi], 0), first[a:z] - lo, axis=0)
     return out
 
 
@@ -185,29 +193,37 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
+def _stretches(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashed words, sizes of the passages and whether they are items', for some texts of a batch at a time: about _AT_ONCE words."""
+    length = np.cumsum(pc.binary_length(b.column("columns")).to_numpy(zero_copy_only=False))
+    edges = np.unique(np.concatenate([[0], np.searchsorted(length, np.arange(2 * _AT_ONCE, int(length[-1]) + 1, 2 * _AT_ONCE)) + 1, [b.num_rows]]))
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        columns, sizes = b.column("columns").slice(a, z - a).to_pylist(), b.column("sizes").slice(a, z - a).to_pylist()
+        own = np.repeat(b.column("own").slice(a, z - a).to_numpy(zero_copy_only=False).astype(bool), [len(x) // 4 for x in sizes])
+        if len(own):
+            yield np.frombuffer(b"".join(columns), np.uint16), np.frombuffer(b"".join(sizes), np.int32), own
+
+
 def _power(shared):
     """A task's rows: their part of (A'A)Q, without A ever being whole anywhere. Rows have length one, items' ones their weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, weight, heavy = shared.value
         scaled, squares = q * weight[:, None], weight.astype(np.float64) ** 2
-        out = np.zeros(q.shape, np.float32)
+        out = np.zeros(q.shape)
         for b in batches:
             if not b.num_rows:
                 continue
-            columns = b.column("columns")
-            first = columns.offsets.to_numpy()[:-1] - columns.offsets.to_numpy()[0]
-            ids = columns.flatten().to_numpy()
-            size = np.diff(np.append(first, len(ids)))
-            owner = np.repeat(np.arange(len(first)), size)
-            norm = np.bincount(owner, squares[ids], len(first))
-            y = project(ids, first, scaled) * (np.where(b.column("own").to_numpy(zero_copy_only=False), heavy, 1.0) / np.maximum(norm, 1e-9))[:, None].astype(np.float32)
-            order = np.argsort(ids, kind="stable")
-            for lo in range(0, len(order), 1 << 14):
-                some = order[lo : lo + (1 << 14)]
-                f = ids[some]
-                begin = np.flatnonzero(np.diff(f, prepend=-1))
-                out[f[begin]] += np.add.reduceat(y[owner[some]], begin, axis=0)
+            for ids, size, own in _stretches(b):
+                first = np.cumsum(size) - size
+                norm = np.add.reduceat(squares[ids], first)
+                y = project(ids, first, scaled) * (np.where(own, heavy, 1.0) / np.maximum(norm, 1e-9))[:, None].astype(np.float32)
+                order = np.argsort(ids, kind="stable")
+                owner = np.repeat(np.arange(len(size)), size)[order]
+                for lo in range(0, len(order), 1 << 12):
+                    f = ids[order[lo : lo + (1 << 12)]].astype(np.int64)
+                    begin = np.flatnonzero(np.diff(f, prepend=-1))
+                    out[f[begin]] += np.add.reduceat(y.take(owner[lo : lo + (1 << 12)], 0), begin, axis=0)
         out *= weight[:, None]
         used = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array((used // _PANEL).astype(np.int32)), pa.array(used.astype(np.int32)), _lists(out[used])], names=["panel", "column", "part"])
@@ -237,22 +253,20 @@ def _times(spark: SparkSession, matrix: DataFrame, q: np.ndarray, weight: np.nda
     return out
 
 
-def latent_basis(spark: SparkSession, documents: DataFrame, texts: DataFrame, counts: Counts, rank: int = RANK) -> np.ndarray | None:
-    """FEATURES by rank, weights folded in: what turns hashed words into the latent space. None if the items have no words.
+def latent_basis(spark: SparkSession, passages: DataFrame, counts: Counts, rank: int = RANK) -> np.ndarray | None:
+    """FEATURES by rank, weights folded in: what turns hashed words into the latent space of all passages. None if the items
+    have no words.
 
     Randomised range finding with POWERS power iterations on A'A over Spark; the square problem that is left
     (rank + OVERSAMPLE columns) is solved on the driver.
     """
-    draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    some = documents.where((draw < min(1.0, SAMPLE / max(1, counts.documents))) & F.col("text").isNotNull()).select("text", F.lit(False).alias("own"))
-    rows = some.unionByName(texts.select("text", F.lit(True).alias("own"))).mapInArrow(_passages, "own boolean, columns array<int>")
-    matrix = materialize(rows, "leak-passages").coalesce(min(_TASKS, parallelism(spark)))
-    n = {r.own: r["count"] for r in matrix.groupBy("own").count().collect()}
-    if not n.get(True):
+    if not counts.own:
         return None
-    heavy = ITEM_SHARE / (1 - ITEM_SHARE) * n.get(False, 0) / n[True] if n.get(False) else 1.0
+    # each task of a product sends FEATURES x (rank + OVERSAMPLE) floats
+    matrix = passages.coalesce(parallelism(spark))
+    heavy = ITEM_SHARE / (1 - ITEM_SHARE) * counts.sentences / counts.own if counts.sentences else 1.0
     weight = counts.weight()
-    q = np.random.default_rng(7).standard_normal((FEATURES, min(rank + OVERSAMPLE, n[True] + n.get(False, 0))))
+    q = np.random.default_rng(7).standard_normal((FEATURES, min(rank + OVERSAMPLE, counts.own + counts.sentences)))
     for _ in range(POWERS + 1):
         q, _ = np.linalg.qr(_times(spark, matrix, q, weight, heavy))
     small = q.T @ _times(spark, matrix, q, weight, heavy)
@@ -474,13 +488,13 @@ def leaked_items(spark: SparkSession, documents: DataFrame, items: DataFrame) ->
     or a paraphrase of it together with the item's answer.
 
     Null and empty texts hold nothing and match nothing. Sentences of one or two words count where they stand alone in the
-    document. Each pair comes out once. Documents are read once for the counts, once for the sample, and once for the
-    search of about BLOCK x PASS_BLOCKS item passages.
+    document. Each pair comes out once. Documents are read once for their words, of which counts and space are made, and
+    once for the search of about BLOCK x PASS_BLOCKS item passages.
     """
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     texts = items.select("item_id", "answer", F.explode(F.array("passage", "question")).alias("text")).where("item_id is not null and text is not null")
-    counts = word_counts(spark, rows)
-    basis = latent_basis(spark, rows, texts, counts)
+    passages, counts = read_passages(spark, rows, texts)
+    basis = latent_basis(spark, passages, counts)
     result = None
     if basis is not None:
         sent = spark.sparkContext.broadcast((basis, counts))

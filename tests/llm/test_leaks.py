@@ -83,3 +83,14 @@ def test_short_sentences_are_looked_up_whole(spark):
     items = spark.createDataFrame([(1, "en", "Wait here. The blue harbour reader keeps 77 lanterns by the granite door.", "Why?", "", 0, "x")], ITEM)
     docs = spark.createDataFrame([(1, "First this. Wait here. Then that."), (2, "They wait here for long. Wait there."), (3, "Wait\nhere.\n\nMore words follow."), (4, "So why? Nobody knows."), (5, "Nobody. Why? None.")], "doc_id long, text string")
     assert {r.doc_id for r in leaks.leaked_items(spark, docs, items).collect()} == {1, 3, 5}
+
+
+def test_space_is_that_of_every_document(spark, monkeypatch):
+    """Words of one document in thousands have their place in it: no document is left out of the decomposition."""
+    seen, item_rows = [], leaks._item_rows
+    monkeypatch.setattr(leaks, "_item_rows", lambda shared: seen.append(shared.value[0]) or item_rows(shared))
+    rows = [(i, f"zalpha{i} zbeta{i}") if i < 50 else (i, f"common{i % 20} words{i % 20}") for i in range(6000)]
+    items = spark.createDataFrame([(1, "en", "One item stands here alone.", None, None, 0, "x")], ITEM)
+    leaks.leaked_items(spark, spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    hashed = leaks.arrays.bins(leaks.arrays.tokenize([t for _, t in rows[:50]]).hash, leaks.FEATURES)
+    assert len(hashed) == 100 and (np.abs(seen[0][hashed]).max(1) > 1e-3).all()
