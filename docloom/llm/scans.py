@@ -13,9 +13,11 @@ it, and are finished after a join with the answers.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ SAMPLE_PAGES, TRAIN = 4000, 3000
 LEAST_COUNT, EDGE = 3, 3
 #: Known words, and decided unknown ones, in one broadcast: the most frequent. The others are looked up by a join.
 COMMON = 200_000
+#: Bits that tell which words can't be known ones (a power of two): with more words they tell less, and never too much.
+FILTER = 1 << 24
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+")
 _LETTER = "[A-Za-zÀ-ɏ]"
 _LETTERS = re.compile(_LETTER)
@@ -242,32 +246,60 @@ def _choose(shared):
     return run
 
 
-def _halves(edits: list[tuple[str, str]]):
-    """Words that one confusion leads to, from which another may go on; digits never grow."""
+def _probes(word: str) -> tuple[int, int]:
+    raw = word.encode()
+    return zlib.crc32(raw) & (FILTER - 1), zlib.crc32(raw, 0x9E3779B9) & (FILTER - 1)
+
+
+def word_filter(known: DataFrame) -> bytes:
+    """FILTER bits, of which each known word sets two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for b in batches:
+            bits[[i for w in b.column("word").to_pylist() for i in _probes(w)]] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in known.select("word").coalesce(min(8, parallelism(known.sparkSession))).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def _applied(word: str, by: dict[str, list[str]]) -> Iterator[tuple[int, str, str, str]]:
+    """(at, piece, put, to): what each confusion makes of a word at each place."""
+    for n in (1, 2):
+        for i in range(len(word) - n + 1):
+            for put in by.get(word[i : i + n], ()):
+                yield i, word[i : i + n], put, word[:i] + put + word[i + n :]
+
+
+def _twice(edits: list[tuple[str, str]], shared):
+    """Words that two confusions lead to, one after the other, unless the filter tells that they are not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         by: dict[str, list[str]] = {}
         for piece, put in edits:
             by.setdefault(piece, []).append(put)
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in kinds]
             for word, own in zip(b.column("word").to_pylist(), b.column("own").to_pylist()):
-                for n in (1, 2):
-                    for i in range(len(word) - n + 1):
-                        for put in by.get(word[i : i + n], ()):
-                            half = word[:i] + put + word[i + n :]
-                            if len(half) > 4:
-                                for c, v in zip(cols, (word, own, i, word[i : i + n], put, half)):
+                for one in _applied(word, by):
+                    if len(one[3]) > 4:
+                        for two in _applied(one[3], by):
+                            if all(bits[i >> 3] >> (i & 7) & 1 for i in _probes(two[3])):
+                                for c, v in zip(cols, (word, own, *one, *two)):
                                     c.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "at1", "piece1", "put1", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["word", "own", "at1", "piece1", "put1", "half", "at", "piece", "put", "to"])
 
     return run
 
 
-def decided_words(spark: SparkSession, unknown: DataFrame, near: DataFrame, known: DataFrame, model: AveragedPerceptron, edits: list[tuple[str, str]]) -> DataFrame:
+def decided_words(spark: SparkSession, unknown: DataFrame, near: DataFrame, known: DataFrame, possible, model: AveragedPerceptron, edits: list[tuple[str, str]]) -> DataFrame:
     """(word, fix): what unknown words (word, clean) should read; null for those that stay. near: their single edits (start, ...).
-    Words that no single edit repairs may take two."""
+    Words that no single edit repairs may take two; possible: broadcast filter of the known words."""
     spec = spark.createDataFrame(edits, "piece string, put string")
     shared = spark.sparkContext.broadcast(model.weights)
     one = near.join(F.broadcast(spec), ["piece", "put"])
@@ -275,9 +307,9 @@ def decided_words(spark: SparkSession, unknown: DataFrame, near: DataFrame, know
     first = one.select(F.col("start").alias("word"), "own", F.struct("at", "piece", "put", "to", "count", *nothing).alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
     fixed = materialize(first.mapInArrow(_choose(shared), "word string, fix string").where("fix is not null"), "scan-fixed")
     rest = unknown.where(~F.contains("word", F.lit("-")) & F.col("word").rlike(_LETTER)).join(fixed, "word", "left_anti").where(F.length("word") > 4).select("word", F.col("clean").alias("own"))
-    starts = rest.mapInArrow(_halves(edits), "word string, own long, at1 int, piece1 string, put1 string, start string")
-    two = near_words(starts, known).join(F.broadcast(spec), ["piece", "put"])
-    second = two.select("word", "own", F.struct("at", "piece", "put", "to", "count", F.col("start").alias("half"), "at1", "piece1", "put1").alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
+    two = rest.mapInArrow(_twice(edits, possible), "word string, own long, at1 int, piece1 string, put1 string, half string, at int, piece string, put string, to string")
+    two = two.join(known.select(F.col("word").alias("to"), F.col("clean").alias("count")), "to")
+    second = two.select("word", "own", F.struct("at", "piece", "put", "to", "count", "half", "at1", "piece1", "put1").alias("c")).groupBy("word", "own").agg(F.collect_list("c").alias("near"))
     more = second.mapInArrow(_choose(shared), "word string, fix string").where("fix is not null")
     every = fixed.unionByName(more)
     return unknown.select("word").join(every, "word", "left")
@@ -352,14 +384,15 @@ def _shape_features(shape: str) -> list[str]:
 
 
 def furniture_shapes(counts: dict[str, int]) -> set[str]:
-    """The line shapes that are furniture: a perceptron trained on the shapes whose case is clear, by how often they occur.
+    """The line shapes that are furniture: a perceptron trained on the shapes whose case is clear, by how often they occur, in a
+    fixed order.
 
     Clear furniture are numbers at the very edge, and lines with room left that run through several pages; clear text are
     lines of words that were broken for want of room, end a sentence, begin small, or close a page.
     """
     yes, no = "furniture", "text"
     examples = []
-    for shape, n in counts.items():
+    for shape, n in sorted(counts.items()):
         room, words, top, bottom, _, _, _, form, end, begin, size, spread = shape.split("|")
         worded = form in ("text", "capital", "ideographs")
         at_edge = top in "01" or bottom in "01"
@@ -378,25 +411,29 @@ def furniture_shapes(counts: dict[str, int]) -> set[str]:
     return {s for s in counts if model.best(_shape_features(s), (no, yes)) == yes}
 
 
-_EDGES = "version_pk string, chunk_id string, place long, line_no int, line string, folded string, top int, bottom int, before boolean, after boolean, width int, room string, body boolean"
+_EDGES = "version_pk string, chunk_id string, place long, line_no int, line string, folded string, top int, bottom int, before boolean, after boolean, width int, room string, body boolean, new boolean"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("version_pk", pa.string()), ("chunk_id", pa.string()), ("place", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("folded", pa.string()),
-                        ("top", pa.int32()), ("bottom", pa.int32()), ("before", pa.bool_()), ("after", pa.bool_()), ("width", pa.int32()), ("room", pa.string()), ("body", pa.bool_())])
+                        ("top", pa.int32()), ("bottom", pa.int32()), ("before", pa.bool_()), ("after", pa.bool_()), ("width", pa.int32()), ("room", pa.string()), ("body", pa.bool_()), ("new", pa.bool_())])
     for b in batches:
         cols: list[list] = [[] for _ in schema]
         for version, chunk, place, text in zip(*(b.column(c).to_pylist() for c in ("version_pk", "chunk_id", "place", "text"))):
             lines = text.split("\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
             width = max((len(lines[i].rstrip()) for i in full), default=0)
+            seen: set[str] = set()
             for k, i in enumerate(full):
                 top, bottom = k, len(full) - 1 - k
                 if top > EDGE and bottom > EDGE:
                     continue
-                line = lines[i]
-                row = (version, chunk, place, i + 1, line, fold_line(line), top, bottom, i == 0 or not lines[i - 1].strip(),
-                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), top >= EDGE and bottom >= EDGE)
+                line, body = lines[i], top >= EDGE and bottom >= EDGE
+                folded = fold_line(line)
+                row = (version, chunk, place, i + 1, line, folded, top, bottom, i == 0 or not lines[i - 1].strip(),
+                       i + 1 == len(lines) or not lines[i + 1].strip(), width, _has_room(line, lines[full[k + 1]] if bottom else "", width), body, not body and folded not in seen)
+                if not body:
+                    seen.add(folded)
                 for c, v in zip(cols, row):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -416,16 +453,21 @@ def scanned_pages(chunks: DataFrame) -> DataFrame:
     return chunks.where((F.col("chunk_type") == PAGE) & F.col("text").isNotNull()).select("version_pk", "chunk_id", place.alias("place"), "text")
 
 
+def single_pages(pages: DataFrame) -> DataFrame:
+    """Each page (version_pk, chunk_id) once; of several texts that have its key always the same one."""
+    return pages.groupBy("version_pk", "chunk_id").agg(F.min(F.struct("place", "text")).alias("p")).select("version_pk", "chunk_id", "p.place", "p.text")
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Each page once, (version_pk, chunk_id, place, furniture, first, last): its furniture lines, first and last line of text."""
-    key = ["version_pk", "chunk_id", "line_no"]
-    rows = materialize(pages.mapInArrow(_edges, _EDGES).dropDuplicates(key), "scan-edges")
-    inner = rows.where("not body")
-    here = inner.groupBy("version_pk", "folded").agg(F.count_distinct("chunk_id").alias("pages"))
-    everywhere = here.groupBy("folded").agg(F.count("*").alias("versions"))
+    """For pages that are there once, (version_pk, chunk_id, place, furniture, first, last): furniture lines, first and last line of text."""
+    form = ["form", "form2"]  # 128 bits of the folded line, which is shuffled several times
+    rows = pages.mapInArrow(_edges, _EDGES).withColumns({"form": F.xxhash64("folded"), "form2": F.xxhash64(F.lit(1), "folded")}).drop("folded")
+    rows = materialize(rows, "scan-edges")
+    here = rows.where("not body").groupBy("version_pk", *form).agg(F.sum(F.col("new").cast("long")).alias("pages"))
+    everywhere = here.groupBy(*form).agg(F.count("*").alias("versions"))
     # page numbers fold alike everywhere: what a line's folded form has in all is joined to one row a version, then by version
-    seen = materialize(here.join(everywhere, "folded"), "scan-folded")
-    counted = rows.join(seen, ["version_pk", "folded"], "left")
+    seen = materialize(here.join(everywhere, form), "scan-folded")
+    counted = rows.drop("new").join(seen, ["version_pk", *form], "left").drop(*form)
     counted = counted.withColumns({"pages": F.coalesce("pages", F.lit(0)), "versions": F.coalesce("versions", F.lit(0))})
     shaped = materialize(counted.mapInArrow(_shapes, "version_pk string, chunk_id string, place long, line_no int, line string, top int, bottom int, body boolean, shape string"), "scan-shapes")
     counts = {r.shape: r["count"] for r in shaped.where("not body").groupBy("shape").count().collect()}
@@ -653,7 +695,8 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     known = words.where("known")
     model, edits, near = fit_editor(words)
     unknown = words.where(~F.col("known") & (F.col("page") + F.col("broken") > 0))
-    decided = materialize(decided_words(spark, unknown, near, known, model, edits), "scan-decided")
+    possible = spark.sparkContext.broadcast(word_filter(known))
+    decided = materialize(decided_words(spark, unknown, near, known, possible, model, edits), "scan-decided")
 
     top = known.orderBy(F.desc("clean"), F.desc("page"), "word").limit(COMMON).select("word").toArrow()
     often = unknown.select("word", (F.col("page") + F.col("broken")).alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
@@ -662,11 +705,12 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     editor.model = fit_joins(sample_pages(pages), editor)
     shared = spark.sparkContext.broadcast((editor.known, editor.fixes, editor.model.weights))
 
-    edges = materialize(page_edges(pages), "scan-pages")
+    once = single_pages(pages)
+    edges = materialize(page_edges(once), "scan-pages")
     after = edges.groupBy("version_pk", (F.col("place") - 1).alias("place")).agg(F.min("first").alias("following"))
     before = edges.groupBy("version_pk", (F.col("place") + 1).alias("place")).agg(F.max("last").alias("previous"))
     around = edges.join(after, ["version_pk", "place"], "left").join(before, ["version_pk", "place"], "left").select("version_pk", "chunk_id", "furniture", "previous", "following")
-    rows = pages.dropDuplicates(["version_pk", "chunk_id"]).join(around, ["version_pk", "chunk_id"], "left").select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following")
+    rows = once.join(around, ["version_pk", "chunk_id"], "left").select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following")
     answer = "array<struct<word: string, fix: string>>"
     done = materialize(rows.withColumn("answers", F.lit(None).cast(answer)).mapInArrow(_repair(shared), _REPAIRED), "scan-repaired")
 
@@ -678,7 +722,7 @@ def repaired_pages(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     fresh = wanted.join(told, "word", "left_anti").withColumn("clean", F.lit(0).cast("long"))
     letters = fresh.where(F.col("word").rlike(_LETTER) & ~F.contains("word", F.lit("-")) & (F.length("word") > 1))
     close = materialize(near_words(letters.select(F.col("word").alias("start"), F.col("clean").alias("own")), known), "scan-near")
-    told = told.unionByName(decided_words(spark, fresh, close, known, model, edits))
+    told = told.unionByName(decided_words(spark, fresh, close, known, possible, model, edits))
     answers = asked.join(told, "word").groupBy("version_pk", "chunk_id").agg(F.collect_list(F.struct("word", "fix")).alias("answers"))
     open_ = done.where(F.size("asks") > 0).select("version_pk", "chunk_id", "place", "page.*").join(answers, ["version_pk", "chunk_id"])
     late = open_.select("version_pk", "chunk_id", "place", "text", "furniture", "previous", "following", "answers").mapInArrow(_repair(shared), _REPAIRED)
