@@ -84,10 +84,11 @@ def tokenize(texts: list[str | None], escapes: bool = True) -> Tokens:
         at = np.flatnonzero(points[:-1] == 92)
         at = at[(points[at + 1] == 110) | (points[at + 1] == 116)]
         points[at] = points[at + 1] = 10
-    wide = points > 0xFFFF
-    flat = np.where(wide, 0, points)
-    kind = kinds[flat]
-    kind[wide & (points < 0x40000) & (points >= 0x20000)] = IDEO
+    wide = np.flatnonzero(points > 0xFFFF)
+    flat = points.astype(np.intp)
+    flat[wide] = 0
+    kind = kinds.take(flat)
+    kind[wide[(points[wide] < 0x40000) & (points[wide] >= 0x20000)]] = IDEO
     word = kind == WORD
     ideo = kind == IDEO
     before = np.empty_like(word)
@@ -97,14 +98,16 @@ def tokenize(texts: list[str | None], escapes: bool = True) -> Tokens:
     start = np.flatnonzero((word & ~before) | ideo)
     end = np.flatnonzero((word & ~after) | ideo) + 1
     up, down = _powers(1 << max(12, int(len(points) - 1).bit_length()))
-    folded = np.where(wide, points, lower[flat]).astype(np.uint64)
-    total = np.cumsum(folded * up[: len(points)], dtype=np.uint64)
+    total = lower.take(flat).astype(np.uint64)
+    total[wide] = points[wide]
+    total *= up[: len(points)]
+    np.cumsum(total, out=total)
     left = np.where(start > 0, total[start - 1], np.uint64(0))
     value = (total[end - 1] - left) * down[start]
     value ^= value >> np.uint64(29)
     value *= _MIX
     value ^= value >> np.uint64(32)
-    return Tokens(points, begin, kind, start, end, value, np.searchsorted(begin, start, "right") - 1)
+    return Tokens(points, begin, kind, start, end, value, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, begin))))
 
 
 def sentence_starts(t: Tokens) -> np.ndarray:
@@ -119,27 +122,21 @@ def sentence_starts(t: Tokens) -> np.ndarray:
     first[0] = True
     first[1:] = t.text[1:] != t.text[:-1]
     size = len(t.points)
-    cut = np.zeros(size + 1, np.int32)
     stop = np.flatnonzero(t.kind == STOP)
     follows = t.kind[np.minimum(stop + 1, size - 1)]
     stop = stop[(follows != WORD) & (follows != IDEO)]
-    cut[stop] = 1
-    cut[np.flatnonzero(t.kind == IDEO_STOP)] = 2
     line = np.flatnonzero(t.kind == LINE)
-    if len(line):
-        nxt = np.minimum(line + 1, size - 1)
-        mark = (t.kind[nxt] == LINE) | np.isin(t.points[nxt], np.array([35, 42, 45, 124, 62], np.uint32))
-        cut[line[mark]] = 2
-    some = np.concatenate([[0], np.cumsum(cut > 0)])
-    hard = np.concatenate([[0], np.cumsum(cut > 1)])
-    gap_any = some[t.start[1:]] - some[t.end[:-1]]
-    gap_hard = hard[t.start[1:]] - hard[t.end[:-1]]
+    nxt = np.minimum(line + 1, size - 1)
+    mark = (t.kind[nxt] == LINE) | np.isin(t.points[nxt], np.array([35, 42, 45, 124, 62], np.uint32))
+    soft, hard = np.zeros((2, n + 1), bool)
+    soft[np.searchsorted(t.start, stop)] = True
+    hard[np.searchsorted(t.start, np.concatenate([np.flatnonzero(t.kind == IDEO_STOP), line[mark]]))] = True
     _, _, small = tables()
     nextpoint = t.points[t.start[1:]]
     nextsmall = small[np.where(nextpoint > 0xFFFF, 0, nextpoint)]
     lastpoint = t.points[t.end[:-1] - 1]
     short = (t.end[:-1] - t.start[:-1] <= 3) & ~((lastpoint >= 48) & (lastpoint <= 57))
-    first[1:] |= (gap_hard > 0) | ((gap_any > 0) & ~(short & nextsmall))
+    first[1:] |= hard[1:n] | (soft[1:n] & ~(short & nextsmall))
     return first
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ RANK, OVERSAMPLE, POWERS = 96, 16, 1
 ITEM_SHARE = 0.65
 #: Words (about) of the passages that a product in the decomposition takes at a time.
 _AT_ONCE = 1 << 18
+#: Sums that are made side by side, so that they stay in the cache; rows of the runs that longer sums are split into.
+_ABREAST, _RUN = 512, 128
 #: Least cosine of a candidate in the latent space.
 COSINE = 0.8
 #: Least share of the words of the item's sentence that must run through the document's sentence, in order; and least
@@ -42,6 +45,8 @@ SHARED, RARITY = 0.88, 0.84
 PARAPHRASED, KEPT = 0.6, 0.78
 #: Words that an answer needs to prove anything. Words of a sentence that is looked up whole, since it has no form.
 ANSWER, SHORT = 3, 2
+#: Passages of documents times words of a block's items in one table of which word is where.
+TABLE = 1 << 24
 #: Item passages in one broadcast, about; broadcasts in one pass over the documents.
 BLOCK, PASS_BLOCKS = 4096, 32
 #: A sentence of more words than this (Latin, Chinese) is also a run of sentences that lost their stops: it is searched in
@@ -128,7 +133,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = part.column("own").to_numpy(zero_copy_only=False).astype(bool)
             s = sentences(part.column("text").to_pylist())
             counted = ~own[np.repeat(np.arange(len(own)), np.diff(s.bound))]
-            total += np.bincount(arrays.bins(s.hash[counted], COUNTS), minlength=COUNTS)
+            np.add.at(total, arrays.bins(s.hash[counted], COUNTS), 1)
             mine = int(own[s.text].sum())
             n += (int(counted.sum()), int((~own).sum()), len(s.text) - mine, mine)
             columns = _bytes(arrays.bins(s.hash, FEATURES).astype(np.uint16), s.bound)
@@ -180,12 +185,26 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def project(ids: np.ndarray, first: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Sums of the basis rows of each passage, a few passages at a time so that they stay in the cache."""
-    out = np.zeros((len(first), basis.shape[1]), np.float32)
-    for a in range(0, len(first), 48):
-        z = min(a + 48, len(first))
-        lo, hi = first[a], first[z] if z < len(first) else len(ids)
-        out[a:z] = np.add.reduceat(basis.take(ids[lo:hi], 0), first[a:z] - lo, axis=0)
+    """Sums of the basis rows of each passage: the first words of some passages of like length at once, then their second ones, and
+    so on. Long passages are summed up in runs of _RUN words."""
+    out = np.empty((len(first), basis.shape[1]), basis.dtype)
+    size = np.diff(first, append=len(ids))
+    if len(size) and size.max() > _RUN:
+        runs = -(-size // _RUN)
+        start = np.cumsum(runs) - runs
+        nth = np.arange(int(runs.sum())) - np.repeat(start, runs)
+        parts = project(ids, np.repeat(first, runs) + nth * _RUN, basis)
+        return project(np.arange(len(parts)), start, parts)
+    order = np.argsort(-size, kind="stable")
+    total, row = np.empty((2, min(_ABREAST, len(order)), basis.shape[1]), basis.dtype)
+    for a in range(0, len(order), _ABREAST):
+        at = order[a : a + _ABREAST]
+        begin, less = first[at], -size[at]
+        np.take(basis, ids[begin], 0, out=total[: len(at)], mode="clip")
+        for k, n in enumerate(np.searchsorted(less, np.arange(-1, less[0], -1)).tolist(), 1):
+            np.take(basis, ids[begin[:n] + k], 0, out=row[:n], mode="clip")
+            total[:n] += row[:n]
+        out[at] = total[: len(at)]
     return out
 
 
@@ -220,10 +239,8 @@ def _power(shared):
                 y = project(ids, first, scaled) * (np.where(own, heavy, 1.0) / np.maximum(norm, 1e-9))[:, None].astype(np.float32)
                 order = np.argsort(ids, kind="stable")
                 owner = np.repeat(np.arange(len(size)), size)[order]
-                for lo in range(0, len(order), 1 << 12):
-                    f = ids[order[lo : lo + (1 << 12)]].astype(np.int64)
-                    begin = np.flatnonzero(np.diff(f, prepend=-1))
-                    out[f[begin]] += np.add.reduceat(y.take(owner[lo : lo + (1 << 12)], 0), begin, axis=0)
+                some, begin = np.unique(ids[order], return_index=True)
+                out[some] += project(owner, begin, y)
         out *= weight[:, None]
         used = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array((used // _PANEL).astype(np.int32)), pa.array(used.astype(np.int32)), _lists(out[used])], names=["panel", "column", "part"])
@@ -345,29 +362,43 @@ class Block:
 
     def candidates(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (passage of v, passage of items) above COSINE. No cell is passed over that could hold one."""
-        angle = np.arccos(np.clip(v @ self.centre.T, -1, 1))
-        near = angle <= self.radius + (np.arccos(COSINE) + 1e-3)
+        widest = np.minimum(self.radius + (np.arccos(COSINE) + 1e-3), np.pi)
+        near = self.centre @ v.T >= np.where(widest < np.pi, np.cos(widest), -2)[:, None]
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for c in np.flatnonzero(near.any(0)):
-            rows = np.flatnonzero(near[:, c])
-            i, j = np.nonzero(v[rows] @ self.vectors[self.cell[c] : self.cell[c + 1]].T >= COSINE)
+        for c in np.flatnonzero(near.any(1)):
+            rows = np.flatnonzero(near[c])
+            dots = v[rows] @ self.vectors[self.cell[c] : self.cell[c + 1]].T
+            i, j = np.divmod(np.flatnonzero(dots >= COSINE), dots.shape[1])
             left.append(rows[i])
             right.append(j + self.cell[c])
         return np.concatenate(left), np.concatenate(right)
 
+    @cached_property
+    def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all passages, each once and sorted, and which of them each word is."""
+        return np.unique(self.words, return_inverse=True)
+
     def kept_share(self, s: Sentences, u: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For each pair, the share of the rarity of the item's words that occur in the passage (around it, for windows)."""
+        words, which = self.vocabulary
         some, at = np.unique(u, return_inverse=True)
         lo, hi = s.start[some], s.start[some] + s.size[some]
         reach = np.where(s.window[some], int(np.diff(self.first).max()), 0)
         lo, hi = np.maximum(s.bound[s.text[some]], lo - reach), np.minimum(s.bound[s.text[some] + 1], hi + reach)
-        place, _ = _ranges(lo, hi - lo)
-        there = np.unique(s.hash[place] ^ (np.repeat(np.arange(len(some), dtype=np.uint64), hi - lo) * _MARK))
         size = self.first[q + 1] - self.first[q]
-        place, begin = _ranges(self.first[q], size)
-        wanted = self.words[place] ^ (np.repeat(at.astype(np.uint64), size) * _MARK)
-        found = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
-        return np.add.reduceat(np.where(found, self.rarity[place], 0), begin) / np.maximum(self.total[q], 1e-9)
+        out = np.zeros(len(u))
+        step = max(1, TABLE // len(words))
+        for a in range(0, len(some), step):
+            place, _ = _ranges(lo[a : a + step], (hi - lo)[a : a + step])
+            word = np.minimum(np.searchsorted(words, s.hash[place]), len(words) - 1)
+            known = words[word] == s.hash[place]
+            there = np.zeros((min(step, len(some) - a), len(words)), bool)
+            there[np.repeat(np.arange(len(there)), (hi - lo)[a : a + step])[known], word[known]] = True
+            pair = np.flatnonzero((at >= a) & (at < a + step))
+            place, begin = _ranges(self.first[q[pair]], size[pair])
+            found = there[np.repeat(at[pair] - a, size[pair]), which[place]]
+            out[pair] = np.add.reduceat(np.where(found, self.rarity[place], 0), begin) / np.maximum(self.total[q[pair]], 1e-9)
+        return out
 
     def places(self, q: int) -> dict[int, int]:
         bits: dict[int, int] = {}
@@ -460,8 +491,8 @@ def _search(basis, shared: list):
         for b in batches:
             found: set[tuple[int, int]] = set()
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for at in range(0, b.num_rows, 32):
-                s = sentences(b.column("text").slice(at, 32).to_pylist(), windows=True)
+            for at in range(0, b.num_rows, 64):
+                s = sentences(b.column("text").slice(at, 64).to_pylist(), windows=True)
                 if not len(s.start):
                     continue
                 place, first = s.words()
